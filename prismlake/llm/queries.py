@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
         "op8_mixing": mixing.op8_mixing,
     }
 
