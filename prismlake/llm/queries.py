@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import embedding_dedup, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
+        "op2_simhash_gray": simhash.op2_simhash_gray,
         "op8_mixing": mixing.op8_mixing,
+        "op9_embedding_pca": embedding_dedup.op9_embedding_pca,
     }
 
 
