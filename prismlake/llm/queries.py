@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, sharding, simhash
+from . import embedding_dedup, mixing, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
         "op2_simhash_gray": simhash.op2_simhash_gray,
+        "op4_secret_links": secrets.op4_secret_links,
         "op8_mixing": mixing.op8_mixing,
         "op9_embedding_pca": embedding_dedup.op9_embedding_pca,
     }
