@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, secrets, sharding, simhash
+from . import embedding_dedup, mixing, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
         "op2_simhash_gray": simhash.op2_simhash_gray,
         "op4_secret_links": secrets.op4_secret_links,
+        "op6_toxic_segments": toxicity.op6_toxic_segments,
         "op8_mixing": mixing.op8_mixing,
         "op9_embedding_pca": embedding_dedup.op9_embedding_pca,
     }
