@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, secrets, sharding, simhash, toxicity
+from . import embedding_dedup, line_dedup, mixing, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,10 +13,12 @@ def queries() -> dict:
         "op6_toxic_segments": toxicity.op6_toxic_segments,
         "op8_mixing": mixing.op8_mixing,
         "op9_embedding_pca": embedding_dedup.op9_embedding_pca,
+        "op10_line_runs": line_dedup.op10_line_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_mixing": mixing.ORACLE_SQL,
+        "op10_line_runs": line_dedup.ORACLE_SQL,
     }
