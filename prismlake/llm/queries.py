@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, mixing, secrets, sharding, simhash, toxicity
+from . import decontamination, embedding_dedup, line_dedup, mixing, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash_gray": simhash.op2_simhash_gray,
         "op4_secret_links": secrets.op4_secret_links,
         "op6_toxic_segments": toxicity.op6_toxic_segments,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op8_mixing": mixing.op8_mixing,
         "op9_embedding_pca": embedding_dedup.op9_embedding_pca,
         "op10_line_runs": line_dedup.op10_line_runs,
