@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, line_dedup, mixing, secrets, sharding, simhash, toxicity
+from . import decontamination, embedding_dedup, line_dedup, mixing, pii, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_sharding": sharding.op1_hilbert_sharding,
         "op2_simhash_gray": simhash.op2_simhash_gray,
+        "op3_pii_surrogates": pii.op3_pii_surrogates,
         "op4_secret_links": secrets.op4_secret_links,
         "op6_toxic_segments": toxicity.op6_toxic_segments,
         "op7_decontamination": decontamination.op7_decontamination,
