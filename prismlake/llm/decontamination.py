@@ -29,6 +29,8 @@ RADIUS, BLOCKS = 23, 8
 #: Rows of chosen shingles, and of the fingerprint index, that are broadcast at once.
 #: A larger benchmark is worked off in blocks of items.
 BROADCAST_ITEMS = 20_000
+#: Tasks that prepare the benchmark.
+ITEM_TASKS = 8
 
 WORDS = r"array_remove(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), '')"
 
@@ -59,7 +61,8 @@ def simhash(hashes: str, lanes: int) -> F.Column:
         return f"if((shiftright(a.c{i % lanes}, {i - i % lanes}) & {full}L) * 2 > size({hashes}), {value}, 0L)"
 
     end = " | ".join(bit(i) for i in range(64))
-    return F.expr(f"aggregate({hashes}, {zero}, (a, h) -> {step}, a -> {end})")
+    # Not null to the planner, which would otherwise test it in a filter of its own.
+    return F.coalesce(F.expr(f"aggregate({hashes}, {zero}, (a, h) -> {step}, a -> {end})"), F.lit(0).cast("long"))
 
 
 def benchmark_items(benchmark: DataFrame, shingle: int) -> DataFrame:
@@ -101,6 +104,8 @@ def windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     hits = each.join(F.broadcast(chosen), F.col("word") == F.col("probe"))
     hits = hits.withColumn("p", F.col("at") - F.col("off")).where("p >= 0 AND array_join(slice(words, p + 1, n), ' ') = shingle")
     hits = hits.select("doc_id", "h1", "h2", "m", "n", "p", F.expr("size(words)").alias("size"), F.expr("greatest(0, p + n - m)").alias("r0"), F.expr("slice(words, greatest(0, p + n - m) + 1, 2 * m - n)").alias("region"))
+    # Few rows become many here, so the number of partitions doesn't follow their bytes.
+    hits = hits.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "h1", "h2", "m")
     # The first hit in a window makes it, so each window is made once.
     before = F.lag("p").over(Window.partitionBy("doc_id", "h1", "h2", "m", "n").orderBy("p"))
     hits = hits.withColumn("first", F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("r0"))).withColumn("last", F.expr("least(p, greatest(size - m, 0))"))
@@ -122,7 +127,6 @@ def candidates(wins: DataFrame, items: DataFrame, radius: int, lanes: int) -> Da
     width, flips = 64 // BLOCKS, radius // BLOCKS
     index = items.select("item", "m", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
     index = index.select("item", "m", simhash("hashes", lanes).alias("fp"))
-    index = written(index, "item-fingerprints")
     index = index.select("item", F.col("m").alias("m2"), F.col("fp").alias("fp2"), F.inline(block_values(radius)))
     wins = wins.withColumn("hashes", F.expr("transform(win, w -> xxhash64(w))")).withColumn("fp", simhash("hashes", lanes)).drop("hashes")
     # A window looks up its own block values; flips were filed by the index.
@@ -135,21 +139,26 @@ def candidates(wins: DataFrame, items: DataFrame, radius: int, lanes: int) -> Da
     return met.select("doc_id", "h1", "h2", "m", "n", "start", "win", "item", "hamming")
 
 
+def labelled(shingles: str) -> str:
+    """The shingles as a set: the k-th repeat of one gets a number, so that set sizes count repeats."""
+    run = f"array_sort({shingles})"
+    number = f"transform({run}, (x, i) -> if(i = array_position({run}, x) - 1, x, concat(x, '#', i - array_position({run}, x) + 1)))"
+    return f"if(size(array_distinct({shingles})) = size({shingles}), {shingles}, {number})"
+
+
 def verified(met: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """Candidates whose shingles, weighted by how often they occur, are similar enough.
 
     The similarity is the sum of the smaller over the sum of the larger weights.
     """
-    mine = items.select("item", F.size("shingles").alias("ki"), F.explode("shingles").alias("shingle"))
-    mine = mine.groupBy("item", "shingle", "ki").agg(F.count("*").alias("ci"))
-    pair = ["doc_id", "h1", "h2", "m", "n", "start", "item", "hamming"]
-    shingles = F.expr("transform(sequence(0, size(win) - n), i -> array_join(slice(win, i + 1, n), ' '))")
-    each = met.select(*pair, (F.size("win") - F.col("n") + 1).alias("kw"), F.explode(shingles).alias("shingle"))
-    each = each.groupBy(*pair, "kw", "shingle").agg(F.count("*").alias("cw"))
-    both = each.join(F.broadcast(mine), ["item", "shingle"])
-    both = both.groupBy(*pair, "kw", "ki").agg(F.sum(F.least("cw", "ci")).alias("o"))
-    both = both.withColumn("similarity", F.col("o") / (F.col("kw") + F.col("ki") - F.col("o")))
-    return both.where(F.col("similarity") >= least)
+    mine = items.select("item", F.size("shingles").alias("ki"), F.expr(labelled("shingles")).alias("theirs"))
+    each = met.withColumn("shingles", F.expr("transform(sequence(0, size(win) - n), i -> array_join(slice(win, i + 1, n), ' '))")).drop("win")
+    each = each.join(F.broadcast(mine), "item")
+    # Generated, so that the overlap is worked out once and not again in the filter.
+    both = F.struct(F.size(F.array_intersect(F.expr(labelled("shingles")), "theirs")).alias("o"), F.size("shingles").alias("kw"))
+    each = each.select("doc_id", "h1", "h2", "m", "start", "item", "hamming", "ki", F.inline(F.array(both)))
+    each = each.withColumn("similarity", F.col("o") / (F.col("kw") + F.col("ki") - F.col("o")))
+    return each.where(F.col("similarity") >= least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -168,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
     documents are scanned once for each block, and no document is ever compared with
     more than the items whose shingles it has.
     """
-    items = written(benchmark_items(benchmark, shingle), "benchmark-items")
+    items = written(benchmark_items(benchmark, shingle).coalesce(ITEM_TASKS), "benchmark-items")
     size = items.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
     blocks = max(1, -(-size["n"] // BROADCAST_ITEMS))
     lanes = _lanes(max(size["m"] or 1, 1))
