@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, line_dedup, mixing, pii, secrets, sharding, simhash, toxicity
+from . import decontamination, embedding_dedup, line_dedup, mixing, pii, quality, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash_gray": simhash.op2_simhash_gray,
         "op3_pii_surrogates": pii.op3_pii_surrogates,
         "op4_secret_links": secrets.op4_secret_links,
+        "op5_quality_cotraining": quality.op5_quality_cotraining,
         "op6_toxic_segments": toxicity.op6_toxic_segments,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_mixing": mixing.op8_mixing,
