@@ -48,7 +48,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     all_rows = Window.partitionBy()
     t = t.withColumn("budget", F.sum("source_size").over(all_rows) * share)
     t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    t = t.withColumn("level", F.min(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level"))).over(all_rows))
+    # From the first source below its cap on, the levels fall: the first is the largest.
+    t = t.withColumn("level", F.max(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level"))).over(all_rows))
     target = F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap")).otherwise(F.col("level") * F.col("w"))
     return t.select("source", "source_size", target.alias("target"))
 
@@ -170,7 +171,7 @@ weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((i - 1) % 3 + 1)::INT] AS w FROM
 levels AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level0 FROM weighed),
-leveled AS (SELECT *, min(CASE WHEN cap > level0 * w THEN level0 END) OVER () AS level FROM levels),
+leveled AS (SELECT *, max(CASE WHEN cap > level0 * w THEN level0 END) OVER () AS level FROM levels),
 plan AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * w THEN cap ELSE level * w END AS target FROM leveled),
 parts AS (

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -48,6 +49,18 @@ def test_odd_documents(spark):
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r["size"] for r in mine)
 
 
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(4)
+    for n in (1, 2, 3, 7, 20, 50):
+        for spread in (1, 100, 10_000):
+            sizes = {f"s{i}": rnd.randint(0, spread) for i in range(n)} | {None: rnd.randint(1, spread)}
+            df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+            got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+            want = filled(sizes)
+            assert got == pytest.approx(want)
+            assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_sql_agrees(spark):
     docs = odd_documents(spark).where("doc_id IS NULL OR doc_id < 128")
     documents = docs.select("doc_id", "text", "source").toPandas()
