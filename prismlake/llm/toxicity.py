@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, table
+from .common import document_columns, table, written
 
 #: The most labelled rows that a fit uses. More rows change little, and the bound
 #: keeps the counts and the calibration sample small.
 FIT_ROWS = 20_000
+#: Tasks that the fitted rows are spread over.
+SAMPLE_TASKS = 16
 #: Hash buckets of features, lengths of prefixes, strength of the priors in tokens.
 BUCKETS, PREFIXES, PRIOR = 1 << 20, (3, 4, 5, 6, 7), 10.0
 #: Cost of a token in nats, and the largest log-odds either way.
@@ -171,6 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     train = training_rows(labels, rows).select(F.col("doc_id").alias("_id"), "toxic")
     train = F.broadcast(train.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int")))  # at most `rows` rows of 16 bytes
     sample = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(train, F.expr("doc_id = _id")).select("text", "toxic", "fold")
+    # Written once, so that the passes below read the sample and not all documents.
+    sample = written(sample.repartition(SAMPLE_TASKS), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -199,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for k in range(0, len(both[0]), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(both[0][k : k + 50_000])] + [pa.array(both[1][k : k + 50_000, c]) for c in range(4)], ["b", "c0", "t0", "c1", "t1"])
 
-    counts = sample.coalesce(8).mapInArrow(count, "b long, c0 long, t0 long, c1 long, t1 long")
+    counts = sample.mapInArrow(count, "b long, c0 long, t0 long, c1 long, t1 long")
     counts = counts.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     # One occurrence says nothing beyond its prior: buckets with fewer than two tokens stay out.
     got = counts.where("c0 + t0 + c1 + t1 >= 2 OR b = -1").toPandas()
