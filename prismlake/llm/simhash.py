@@ -152,19 +152,25 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     """The least node that each of n nodes reaches over the pairs."""
     root = np.arange(n)
     for i, j in pairs:
+        root = forest_from(root, i, j)
+    return root
+
+
+def forest_from(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the pairs (i, j) are linked, too."""
+    while True:
+        ri, rj = root[i], root[j]
+        off = ri != rj
+        if not off.any():
+            return root
+        i, j = i[off], j[off]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(ri[off], rj[off]), np.minimum(ri[off], rj[off]))
         while True:
-            ri, rj = root[i], root[j]
-            off = ri != rj
-            if not off.any():
+            up = root[root]
+            if np.array_equal(up, root):
                 break
-            i, j = i[off], j[off]
-            np.minimum.at(root, np.maximum(ri[off], rj[off]), np.minimum(ri[off], rj[off]))
-            while True:
-                up = root[root]
-                if np.array_equal(up, root):
-                    break
-                root = up
-    return root
+            root = up
 
 
 # -- tiles ---------------------------------------------------------------------
@@ -172,8 +178,19 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 TILE_SCHEMA = "rotation int, block long, tile string, mask long, pattern long, codes binary"
 
 
-def _tiles(width: list[int]):
-    """Cuts sorted (rotation, code) rows into tiles.
+CODE = np.dtype([("code", "<u8")])
+
+
+def _rows(batch: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(batch), kind)
+    for name in kind.names:
+        column = batch[name]
+        out[name] = np.frombuffer(b"".join(column), np.uint64).reshape(len(out), -1) if column.dtype == object else column.to_numpy().astype(np.int64).view(kind[name].base)
+    return out
+
+
+def _tiles(width: list[int], kind: np.dtype = CODE):
+    """Cuts sorted (rotation, code, ...) rows into tiles.
 
     A tile holds whole blocks and stands alone (block null), or it is a piece of
     one block that is larger than a tile or touches the partition's edge and so
@@ -188,18 +205,18 @@ def _tiles(width: list[int]):
         def tile(rotation: int, codes: np.ndarray, block: int | None) -> dict:
             nonlocal made
             made += 1
-            mask, pattern = shared(codes, np.array([0]))
+            mask, pattern = shared(np.ascontiguousarray(codes["code"]), np.array([0]))
             return {"rotation": rotation, "block": block, "tile": f"{part}-{made}", "mask": mask.view(np.int64)[0], "pattern": pattern.view(np.int64)[0], "codes": codes.tobytes()}
 
         def cut(rotation: int, codes: np.ndarray, edge: bool) -> list[dict]:
             """Tiles of one block's codes, which don't fit with others."""
-            block = int(codes[0] >> np.uint64(64 - width[rotation]))
+            block = int(codes["code"][0] >> np.uint64(64 - width[rotation]))
             alone = len(codes) <= TILE and not edge
             return [tile(rotation, codes[k : k + TILE], None if alone else block) for k in range(0, len(codes), TILE)]
 
         held: list[np.ndarray] = []  # whole blocks that make up the next tile
         held_n = 0
-        open_, rotation, first = np.empty(0, np.uint64), -1, True  # the block that may go on
+        open_, rotation, first = np.empty(0, kind), -1, True  # the block that may go on
 
         def flush() -> list[dict]:
             nonlocal held, held_n
@@ -220,27 +237,27 @@ def _tiles(width: list[int]):
                     out += flush()
                 held.append(open_)
                 held_n += len(open_)
-            open_, first = np.empty(0, np.uint64), False
+            open_, first = np.empty(0, kind), False
             return out
 
         for batch in batches:
             rows: list[dict] = []
-            rot, codes = batch["rotation"].to_numpy(), batch["code"].to_numpy().astype(np.int64).view(np.uint64)
+            rot, codes = batch["rotation"].to_numpy(), _rows(batch, kind)
             for r in np.unique(rot):  # ascending, as the rows are
                 some = codes[rot == r]
                 if r != rotation:
                     rows += close(False) + flush()
                     rotation = int(r)
-                blocks = some >> np.uint64(64 - width[rotation])
+                blocks = some["code"] >> np.uint64(64 - width[rotation])
                 cuts = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
                 pieces = np.split(some, cuts)
                 for k, piece in enumerate(pieces):
-                    goes_on = k == 0 and len(open_) and open_[0] >> np.uint64(64 - width[rotation]) == blocks[0]
+                    goes_on = k == 0 and len(open_) and open_["code"][0] >> np.uint64(64 - width[rotation]) == blocks[0]
                     if not goes_on:
                         rows += close(False)
                     open_ = np.concatenate([open_, piece]) if len(open_) else piece
                     while len(open_) > 2 * TILE:  # a large block leaves as it comes
-                        block = int(open_[0] >> np.uint64(64 - width[rotation]))
+                        block = int(open_["code"][0] >> np.uint64(64 - width[rotation]))
                         rows.append(tile(rotation, open_[:TILE], block))
                         open_, first = open_[TILE:], True
             if rows:
@@ -278,6 +295,21 @@ def _compare(radius: int, back: list[int]):
     return run
 
 
+def tile_pairs(tiles: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(rotation, codes, codes2): every tile alone, and the pairs of one block that aren't too far apart."""
+    own = tiles.select("rotation", "codes", F.lit(None).cast("binary").alias("codes2"))
+    # Pieces of one block meet in pairs, first by their nodes alone.
+    nodes = tiles.where("block is not null").select("rotation", "block", "tile", "mask", "pattern")
+    other = nodes.select("rotation", "block", F.col("tile").alias("tile2"), F.col("mask").alias("mask2"), F.col("pattern").alias("pattern2"))
+    apart = F.bit_count((F.col("pattern").bitwiseXOR(F.col("pattern2"))).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
+    met = nodes.join(other, ["rotation", "block"]).where((F.col("tile") < F.col("tile2")) & (apart <= radius)).select("rotation", "tile", "tile2")
+    codes = tiles.where("block is not null").select("tile", "codes")
+    met = met.join(codes, "tile").join(codes.select(F.col("tile").alias("tile2"), F.col("codes").alias("codes2")), "tile2")
+    work = own.unionByName(met.select("rotation", "codes", "codes2"))
+    # Rows of unequal work are dealt out evenly.
+    return work.withColumn("_deal", F.xxhash64("codes", "codes2")).repartition(parts, "_deal").drop("_deal")
+
+
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): links that connect all fingerprints within `radius` bits of each other.
 
@@ -305,17 +337,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     filed = filed.repartitionByRange(parts, "rotation", "rank").sortWithinPartitions("rotation", "rank")
     tiles = written(filed.select("rotation", "code").mapInPandas(_tiles(width), TILE_SCHEMA), "gray-tiles")
     back = [(64 - o) % 64 for o in offset]
-    own = tiles.select("rotation", "codes", F.lit(None).cast("binary").alias("codes2"))
-    # Pieces of one block meet in pairs, first by their nodes alone.
-    nodes = tiles.where("block is not null").select("rotation", "block", "tile", "mask", "pattern")
-    other = nodes.select("rotation", "block", F.col("tile").alias("tile2"), F.col("mask").alias("mask2"), F.col("pattern").alias("pattern2"))
-    apart = F.bit_count((F.col("pattern").bitwiseXOR(F.col("pattern2"))).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
-    met = nodes.join(other, ["rotation", "block"]).where((F.col("tile") < F.col("tile2")) & (apart <= radius)).select("rotation", "tile", "tile2")
-    codes = tiles.where("block is not null").select("tile", "codes")
-    met = met.join(codes, "tile").join(codes.select(F.col("tile").alias("tile2"), F.col("codes").alias("codes2")), "tile2")
-    work = own.unionByName(met.select("rotation", "codes", "codes2"))
-    # Rounds of unequal work are dealt out evenly.
-    work = work.withColumn("_deal", F.xxhash64("codes", "codes2")).repartition(parts, "_deal").drop("_deal")
+    work = tile_pairs(tiles, radius, parts)
     return work.mapInPandas(_compare(radius, back), "u long, v long")
 
 
