@@ -82,6 +82,11 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.n
     return out
 
 
+def _blocks(x: np.ndarray) -> list[slice]:
+    """Slices of rows, so that work on a matrix of 32-bit numbers needs little more than itself."""
+    return [slice(k, k + 2048) for k in range(0, len(x), 2048)]
+
+
 @dataclass
 class Logistic:
     """Ridge-regularised logistic regression on standardised columns."""
@@ -92,16 +97,22 @@ class Logistic:
     weights: np.ndarray | None = None
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Logistic:
-        w = np.ones(len(y)) if w is None else w
-        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        w, d = np.ones(len(y)) if w is None else w, x.shape[1]
+        n = max(len(x), 1)
+        self.mean = sum((x[s].sum(axis=0, dtype=np.float64) for s in _blocks(x)), np.zeros(d)) / n
+        self.scale = np.sqrt(sum((((x[s] - self.mean) ** 2).sum(axis=0) for s in _blocks(x)), np.zeros(d)) / n)
         self.scale = np.where(self.scale > 1e-9, self.scale, 1.0)
-        z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.scale])
-        pull = np.full(z.shape[1], self.ridge)
+        pull = np.full(d + 1, self.ridge)
         pull[0] = 1e-3
-        b = np.zeros(z.shape[1])
+        b = np.zeros(d + 1)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            step = np.linalg.solve((z.T * (w * p * (1 - p))) @ z + np.diag(pull), z.T @ (w * (y - p)) - pull * b)
+            bend, slope = np.diag(pull), -pull * b
+            for s in _blocks(x):
+                z = np.hstack([np.ones((len(x[s]), 1)), (x[s] - self.mean) / self.scale])
+                p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+                bend = bend + (z.T * (w[s] * p * (1 - p))) @ z
+                slope = slope + z.T @ (w[s] * (y[s] - p))
+            step = np.linalg.solve(bend, slope)
             b += np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-7:
                 break
@@ -109,7 +120,8 @@ class Logistic:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:], -15, 15)
+        each = [self.weights[0] + ((x[s] - self.mean) / self.scale) @ self.weights[1:] for s in _blocks(x)]
+        return np.clip(np.concatenate(each), -15, 15) if each else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(x)))
@@ -197,16 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool: int = PO
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "y": b["y"].astype("Int32"), "t": [text_view(t).astype(np.float32) for t in b["text"]],
-                "m": [meta_view(s, g, None if pd.isna(c) else int(c)).astype(np.float32) for s, g, c in zip(b["source"], b["lang"], b["n_chars"], strict=True)],
+                "doc_id": b["doc_id"], "y": b["y"].astype("Int32"), "t": [text_view(t).astype(np.float32).tobytes() for t in b["text"]],
+                "m": [meta_view(s, g, None if pd.isna(c) else int(c)).astype(np.float32).tobytes() for s, g, c in zip(b["source"], b["lang"], b["n_chars"], strict=True)],
             })
 
-    got = sample.mapInPandas(features, "doc_id long, y int, t array<float>, m array<float>")
+    got = sample.mapInPandas(features, "doc_id long, y int, t binary, m binary")
     got = written(got, "quality-sample").toPandas().sort_values(["doc_id"], kind="stable")
     known_rows, free_rows = got[got["y"].notna()], got[got["y"].isna()]
 
     def views(rows: pd.DataFrame) -> list[np.ndarray]:
-        return [np.stack(rows[c].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, n)) for c, n in (("t", N_TEXT), ("m", N_META))]
+        return [np.frombuffer(b"".join(rows[c]), np.float32).reshape(-1, n) for c, n in (("t", N_TEXT), ("m", N_META))]
 
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 for i in known_rows["doc_id"]], dtype=int)
     return co_train(views(known_rows), known_rows["y"].to_numpy(np.float64), fold, views(free_rows))
