@@ -84,7 +84,7 @@ def compose(first: list[int], then: list[int]) -> list[int]:
 
 def apply_lut(v: Column, table: list[int]) -> Column:
     """Table look-up by an array literal, for tables of bounded size."""
-    return F.element_at(F.array(*[F.lit(int(t)) for t in table]), v.cast("int") + 1)
+    return F.element_at(F.expr(f"array({', '.join(str(int(t)) for t in table)})"), v.cast("int") + 1)
 
 
 def exposure(ev: float) -> float:

@@ -209,3 +209,32 @@ def expand_border(df: DataFrame, top: int, left: int, height: int, width: int) -
     y, x = F.greatest(F.lit(top), F.least(F.lit(top + height - 1), F.col("y"))), F.greatest(F.lit(left), F.least(F.lit(left + width - 1), F.col("x")))
     to = df.withColumns({"_ty": y, "_tx": x})
     return to.join(edge, (F.col("image_id") == F.col("_i")) & (F.col("_ty") == F.col("_y")) & (F.col("_tx") == F.col("_x"))).select("image_id", "y", "x", F.col("_v").alias("v"))
+
+
+def demosaic(df: DataFrame, pattern: str, algorithm: str, height: int, width: int) -> DataFrame:
+    """Dispatch: patterns other than 2 x 2 by masked means, the others by name."""
+    size = int(len(pattern) ** 0.5)
+    if size != 2 or algorithm == "bilinear":
+        return demosaic_pattern(df, pattern, size)
+    if algorithm == "directional":
+        return demosaic_directional(df, pattern, height, width)
+    return {"fast": demosaic_fast, "linear5": demosaic_linear5}[algorithm](df, pattern)
+
+
+def chroma_422(df: DataFrame, matrix: tuple, gains: tuple) -> DataFrame:
+    """Luma v at every pixel and chroma cb, cr at even columns, to red, green and blue.
+
+    Odd columns take the mean of the chroma on both sides, the last one that of its
+    left.
+    """
+    from prismlake.functions.binary import chroma_to_rgb
+
+    w = along_row()
+
+    def full(c: str) -> Column:
+        left = F.lag(c).over(w)
+        return F.coalesce(F.col(c), F.shiftright(left + F.coalesce(F.lead(c).over(w), left), 1))
+
+    df = df.withColumns({"_cb": full("cb"), "_cr": full("cr")})
+    rgb = chroma_to_rgb(F.col("v").cast("long"), F.col("_cb").cast("long"), F.col("_cr").cast("long"), matrix, gains)
+    return df.select("image_id", "y", "x", *[c.alias(n) for n, c in zip("rgb", rgb, strict=True)])

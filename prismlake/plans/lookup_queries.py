@@ -358,10 +358,10 @@ def _(spark, d):
     return t.agg(F.coalesce(first("num", 1), first("num", 4), F.lit(0.0)).alias("iso"), F.coalesce(first("text", 6), F.lit("none")).alias("make"))
 
 
-@query("map05_wb_gains", "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE round((event_id % 5) / 4.0::DOUBLE, 6) END AS r, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE 1.0::DOUBLE END AS g, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE round((event_id % 7) / 4.0::DOUBLE, 6) END AS b FROM events")
+@query("map05_wb_gains", "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE (event_id % 5) / 4.0::DOUBLE END AS r, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE 1.0::DOUBLE END AS g, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE (event_id % 7) / 4.0::DOUBLE END AS b FROM events")
 def _(spark, d):
     gains = metadata.normalised_gains(C("event_id") % 5, F.lit(4), C("event_id") % 7)
-    return table(spark, d, "events").select("event_id", *[F.round(c, 6).alias(n) for n, c in zip("rgb", gains, strict=True)])
+    return table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in zip("rgb", gains, strict=True)])
 
 
 @query("src01_dispatch", "SELECT doc_id, ['TIFF', 'NEF', 'DNG', 'bitmap', NULL][(doc_id % 5 + 1)::INT] AS decoder FROM documents")

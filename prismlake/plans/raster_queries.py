@@ -69,16 +69,16 @@ HSL = f"{NORMAL}, hsl AS (SELECT image_id, y, x, {HUE} AS h, CASE WHEN top = low
 HSV = f"{NORMAL}, hsv AS (SELECT image_id, y, x, {HUE} AS h, CASE WHEN top = low THEN 0.0::DOUBLE ELSE (top - low) / top END AS s, top AS v FROM m)"
 
 
-@query("prj06_rgb_to_hsl", f"WITH {PIXELS}, {HSL} SELECT image_id, y, x, round(h, 6) AS h, round(s, 6) AS s, round(l, 6) AS l FROM hsl")
+@query("prj06_rgb_to_hsl", f"WITH {PIXELS}, {HSL} SELECT image_id, y, x, h, s, l FROM hsl")
 def _(spark, d):
     p = rasters.pixels(spark, d).select(*KEY, color.rgb_to_hsl(C("r"), C("g"), C("b"), MAX).alias("c"))
-    return p.select(*KEY, *[F.round(F.col("c")[n], 6).alias(n) for n in "hsl"])
+    return p.select(*KEY, *[F.col("c")[n].alias(n) for n in "hsl"])
 
 
-@query("prj08_rgb_to_hsv", f"WITH {PIXELS}, {HSV} SELECT image_id, y, x, round(h, 6) AS h, round(s, 6) AS s, round(v, 6) AS v FROM hsv")
+@query("prj08_rgb_to_hsv", f"WITH {PIXELS}, {HSV} SELECT image_id, y, x, h, s, v FROM hsv")
 def _(spark, d):
     p = rasters.pixels(spark, d).select(*KEY, color.rgb_to_hsv(C("r"), C("g"), C("b"), MAX).alias("c"))
-    return p.select(*KEY, *[F.round(F.col("c")[n], 6).alias(n) for n in "hsv"])
+    return p.select(*KEY, *[F.col("c")[n].alias(n) for n in "hsv"])
 
 
 @query("prj07_hsl_roundtrip", f"WITH {PIXELS} SELECT image_id, y, x, r, g, b FROM pixels")
@@ -110,12 +110,12 @@ def _wrap(t: str) -> str:
     "prj10_saturation",
     f"""WITH {PIXELS}, {HSL}, pq AS (SELECT image_id, y, x, h, s * 0.5::DOUBLE AS s, l, CASE WHEN l < 0.5 THEN l * (s * 0.5::DOUBLE + 1.0::DOUBLE) ELSE l + s * 0.5::DOUBLE - l * (s * 0.5::DOUBLE) END AS q FROM hsl),
     ts AS (SELECT *, l * 2.0::DOUBLE - q AS p, {_wrap('(h + 1/3.0::DOUBLE)')} AS t0, {_wrap('h')} AS t1, {_wrap('(h - 1/3.0::DOUBLE)')} AS t2 FROM pq)
-    SELECT image_id, y, x, {", ".join(f"round(CASE WHEN s = 0 THEN l ELSE {_hue_sql(f't{k}')} END * {MAX}.0::DOUBLE, 3) AS {n}" for k, n in enumerate("rgb"))} FROM ts""",
+    SELECT image_id, y, x, {", ".join(f"CASE WHEN s = 0 THEN l ELSE {_hue_sql(f't{k}')} END * {MAX}.0::DOUBLE AS {n}" for k, n in enumerate("rgb"))} FROM ts""",
 )
 def _(spark, d):
     p = rasters.pixels(spark, d).select(*KEY, F.inline(F.array(color.rgb_to_hsl(C("r"), C("g"), C("b"), MAX))))
     p = p.select(*KEY, F.inline(F.array(color.hsl_to_rgb(F.col("h"), F.col("s") * 0.5, F.col("l"), MAX))))
-    return p.select(*KEY, *[F.round(n, 3).alias(n) for n in "rgb"])
+    return p
 
 
 _CURVE = dict(ev=0.5, shadow=10, contrast=20, highlight=-5)
@@ -182,9 +182,9 @@ def _(spark, d):
 M3 = [[0.6, 0.3, 0.1], [0.25, 0.5, 0.25], [0.0, 0.25, 0.75]]
 
 
-@query("prj20_color_matrix", f"WITH {PIXELS} SELECT image_id, y, x, " + ", ".join(f"round(r * {a / sum(m)!r}::DOUBLE + g * {b_ / sum(m)!r}::DOUBLE + b * {c / sum(m)!r}::DOUBLE, 3) AS {n}" for n, m in zip("rgb", M3, strict=True) for a, b_, c in [m]) + " FROM pixels")
+@query("prj20_color_matrix", f"WITH {PIXELS} SELECT image_id, y, x, " + ", ".join(f"r * {a / sum(m)!r}::DOUBLE + g * {b_ / sum(m)!r}::DOUBLE + b * {c / sum(m)!r}::DOUBLE AS {n}" for n, m in zip("rgb", M3, strict=True) for a, b_, c in [m]) + " FROM pixels")
 def _(spark, d):
-    return channels(rasters.pixels(spark, d), [F.round(c, 3) for c in color.matrix(C("r"), C("g"), C("b"), M3)])
+    return channels(rasters.pixels(spark, d), [c for c in color.matrix(C("r"), C("g"), C("b"), M3)])
 
 
 @query("prj21_srgb_linear", f"WITH {PIXELS}, n AS (SELECT *, r::DOUBLE / {MAX}.0::DOUBLE AS n FROM pixels) SELECT image_id, y, x, round(CASE WHEN n < 0.04045 THEN n / 12.92::DOUBLE ELSE pow((n + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END * {MAX}.0::DOUBLE, 3) AS v FROM n")
@@ -199,12 +199,12 @@ def _(spark, d):
     CASE WHEN t >= 66 THEN floor(greatest(0, least(255, 325.4494125711974::DOUBLE + (t - 50) * 0.07943456536662342::DOUBLE + ln(greatest(t - 50, 1)::DOUBLE) * -28.0852963507957::DOUBLE)))
          ELSE floor(greatest(0, least(255, -155.25485562709179::DOUBLE + (t - 2) * -0.44596950469579133::DOUBLE + ln(greatest(t - 2, 1)::DOUBLE) * 104.49216199393888::DOUBLE))) END AS g,
     CASE WHEN t >= 66 THEN 255 WHEN t <= 19 THEN 0 ELSE floor(greatest(0, least(255, -254.76935184120902::DOUBLE + (t - 10) * 0.8274096064007395::DOUBLE + ln(greatest(t - 10, 1)::DOUBLE) * 115.67994401066147::DOUBLE))) END AS b FROM t)
-    SELECT t, round(255 / nullif(r, 0)::DOUBLE, 6) AS r, round(255 / nullif(g, 0)::DOUBLE, 6) AS g, round(255 / nullif(b, 0)::DOUBLE, 6) AS b FROM f""",
+    SELECT t, 255 / nullif(r, 0)::DOUBLE AS r, 255 / nullif(g, 0)::DOUBLE AS g, 255 / nullif(b, 0)::DOUBLE AS b FROM f""",
 )
 def _(spark, d):
     t = rasters.pixels(spark, d).select((C("r") % 300 + 10).alias("t")).distinct()
     gains = color.temperature_gains(F.col("t") * 100)
-    return t.select("t", *[F.round(c, 6).alias(n) for n, c in zip("rgb", gains, strict=True)])
+    return t.select("t", *[c.alias(n) for n, c in zip("rgb", gains, strict=True)])
 
 
 @query("prj23_power_gamma", f"WITH {PIXELS} SELECT image_id, y, x, round(pow(r / {MAX}.0::DOUBLE, {1 / 2.2!r}::DOUBLE) * {MAX}.0::DOUBLE, 3) AS v FROM pixels")
@@ -212,17 +212,17 @@ def _(spark, d):
     return rasters.pixels(spark, d).select(*KEY, F.round(color.power_gamma(C("r").cast("double"), MAX, 2.2), 3).alias("v"))
 
 
-@query("prj24_luma", f"WITH {SCATTER} SELECT id, round((r + g + b) / 3.0::DOUBLE, 4) AS mean, round(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE, 4) AS l601, (greatest(r, g, b) + least(r, g, b)) / 2.0::DOUBLE AS hsl FROM scatter")
+@query("prj24_luma", f"WITH {SCATTER} SELECT id, (r + g + b) / 3.0::DOUBLE AS mean, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS l601, (greatest(r, g, b) + least(r, g, b)) / 2.0::DOUBLE AS hsl FROM scatter")
 def _(spark, d):
-    return rasters.scatter(spark, d).select("id", F.round(color.luma_mean(C("r"), C("g"), C("b")), 4).alias("mean"), F.round(color.luma_601(C("r"), C("g"), C("b")), 4).alias("l601"), color.luma_hsl(C("r"), C("g"), C("b")).alias("hsl"))
+    return rasters.scatter(spark, d).select("id", color.luma_mean(C("r"), C("g"), C("b")).alias("mean"), color.luma_601(C("r"), C("g"), C("b")).alias("l601"), color.luma_hsl(C("r"), C("g"), C("b")).alias("hsl"))
 
 
-@query("prj25_neutral_wb", f"WITH {PIXELS}, p AS (SELECT (g + 1)::DOUBLE / (r + 1) AS kr, (g + 1)::DOUBLE / (b + 1) AS kb, image_id FROM pixels WHERE y = 7 AND x = 9) SELECT q.image_id, y, x, round(r * kr, 4) AS r, g::DOUBLE AS g, round(b * kb, 4) AS b FROM pixels q JOIN p ON q.image_id = p.image_id")
+@query("prj25_neutral_wb", f"WITH {PIXELS}, p AS (SELECT (g + 1)::DOUBLE / (r + 1) AS kr, (g + 1)::DOUBLE / (b + 1) AS kb, image_id FROM pixels WHERE y = 7 AND x = 9) SELECT q.image_id, y, x, r * kr AS r, g::DOUBLE AS g, b * kb AS b FROM pixels q JOIN p ON q.image_id = p.image_id")
 def _(spark, d):
     p = rasters.pixels(spark, d)
     gains = [c.alias(f"k{n}") for n, c in zip("rgb", color.neutral_gains(C("r"), C("g"), C("b")), strict=True)]
     picked = p.where("y = 7 AND x = 9").select("image_id", *gains)  # one row an image
-    return channels(p.join(picked, "image_id"), [F.round(C("r") * F.col("kr"), 4), (C("g") * F.col("kg")), F.round(C("b") * F.col("kb"), 4)])
+    return channels(p.join(picked, "image_id"), [C("r") * F.col("kr"), C("g") * F.col("kg"), C("b") * F.col("kb")])
 
 
 @query("prj27_dng_maps", f"WITH {MOSAIC} SELECT image_id, y, x, CASE WHEN y BETWEEN 10 AND 59 AND x BETWEEN 8 AND 39 AND (y - 10) % 2 = 0 AND (x - 8) % 3 = 0 THEN greatest(0, least({MAX}, trunc((0.05::DOUBLE + (v / {MAX}.0::DOUBLE) * (0.5::DOUBLE + (v / {MAX}.0::DOUBLE) * 0.4::DOUBLE)) * {MAX}.0::DOUBLE)))::INT ELSE v END AS v FROM mosaic")
