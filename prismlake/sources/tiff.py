@@ -158,6 +158,8 @@ def read_tags(files: DataFrame) -> DataFrame:
                     for c in ("ifd_id", "parent_id", "preorder", "depth", "tag", "dtype"):
                         out[c] = out[c].astype("Int32")
                     out["cnt"], out["offset"] = out["cnt"].astype("Int64"), out["offset"].astype("Int64")
+                    for c in ("kind", "little", "nums", "text", "bytes", "error"):
+                        out[c] = pd.Series([row.get(c) for row in rows], dtype=object)
                     yield out
 
     return files.select("path", "content").mapInPandas(run, TAGS)
