@@ -121,3 +121,12 @@ def exif_rows(images: DataFrame) -> DataFrame:
 def exif_groups(rows: DataFrame) -> DataFrame:
     """(image_id, grp, fields): each group's fields in their order."""
     return rows.groupBy("image_id", "grp").agg(F.expr("transform(array_sort(collect_list(struct(ord, name, data))), f -> concat(f.name, ': ', f.data))").alias("fields"))
+
+
+def small_float(h: Column, exponent: int, mantissa: int) -> Column:
+    """A short float as a double; infinities and what isn't a number are null."""
+    e, m = F.shiftright(h, mantissa).bitwiseAND((1 << exponent) - 1), h.bitwiseAND((1 << mantissa) - 1)
+    sign = F.when(F.shiftright(h, mantissa + exponent).bitwiseAND(1) == 1, -1).otherwise(1)
+    bias = (1 << (exponent - 1)) - 1
+    normal = sign * (m + (1 << mantissa)) * F.pow(F.lit(2.0), e - (bias + mantissa))
+    return F.when(e == (1 << exponent) - 1, None).when(e == 0, sign * m * F.lit(2.0 ** (1 - bias - mantissa))).otherwise(normal)

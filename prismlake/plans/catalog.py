@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codec_queries, lookup_queries, raster_queries
+from . import codec_queries, lookup_queries, misc_queries, raster_queries
 
-MODULES = [raster_queries, lookup_queries, codec_queries]
+MODULES = [raster_queries, lookup_queries, codec_queries, misc_queries]
 
 
 def queries() -> dict:
