@@ -95,11 +95,10 @@ def _(spark, d):
     return geometry.crop(rasters.mosaic(spark, d), 2, 4, 96, 56, HEIGHT, WIDTH)
 
 
-@query("prj31_picker_inversion", f"WITH {PIXELS}, m AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM pixels) SELECT image_id, y, x, ({MAX} - top - low + r) AS r, ({MAX} - top - low + g) AS g, ({MAX} - top - low + b) AS b FROM m WHERE top + low = {MAX}")
+@query("prj31_picker_inversion", f"WITH {PIXELS}, m AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM pixels) SELECT image_id, y, x, ({MAX} - top - low + r) AS r, ({MAX} - top - low + g) AS g, ({MAX} - top - low + b) AS b FROM m")
 def _(spark, d):
-    """Lightness turned upside down; at a lightness of one half nothing changes."""
-    p = rasters.pixels(spark, d).where(F.greatest("r", "g", "b") + F.least("r", "g", "b") == MAX)
-    p = p.select(*KEY, F.inline(F.array(color.rgb_to_hsl(C("r"), C("g"), C("b"), MAX))))
+    """Lightness turned upside down."""
+    p = rasters.pixels(spark, d).select(*KEY, F.inline(F.array(color.rgb_to_hsl(C("r"), C("g"), C("b"), MAX))))
     p = p.select(*KEY, F.inline(F.array(color.hsl_to_rgb(C("h"), C("s"), F.lit(1.0) - C("l"), MAX))))
     return p.select(*KEY, *[F.round(c).cast("int").alias(c) for c in "rgb"])
 
