@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import color, metadata, tone
 from prismlake.operators import dither, geometry, stats, stencil
-from prismlake.sources import rasters, raw, slices, tiff
+from prismlake.sources import rasters, raw, slices, tiff, vendors
 from prismlake.sources.rasters import HEIGHT, MAX, WIDTH, table
 
 from .codec_queries import _files
@@ -272,6 +272,15 @@ for _name, _codec, _how, _make in (
     query(_name, f"WITH {MOSAIC} SELECT 'raw-' || image_id AS path, y, x, v FROM mosaic")(_read)
 
 
+_RAF = "WITH h AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 216), 216, '0') AS h FROM documents) SELECT doc_id, " + ", ".join(f"('0x' || substr(h, {2 * a + 1}, 8))::BIGINT AS {n}" for n, a in vendors.RAF.items()) + " FROM h"
+
+
+@query("src21_raf_header", _RAF)
+def _(spark, d):
+    head = F.unhex(F.rpad(F.substring(F.hex("bytes"), 1, 216), 216, "0"))
+    return rasters.byte_rows(spark, d).select("doc_id", head.alias("b")).select("doc_id", *vendors.raf_header(C("b")))
+
+
 @query("src24_detection", "SELECT p_partkey, ['two_lane', 'lossless_jpeg', 'adaptive', 'blocks14', 'lossless_jpeg'][(p_partkey % 5 + 1)::INT] AS codec FROM part")
 def _(spark, d):
     make = F.element_at(F.array(*[F.lit(m) for m in ("NIKON", "Canon", "OLYMPUS IMAGING", "Panasonic", "Other")]), (C("p_partkey") % 5 + 1).cast("int"))
