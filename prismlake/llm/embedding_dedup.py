@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 from .simhash import forest
 
-#: Vectors in a tile, axes that bound a tile, and dimensions after which products are bounded again.
-TILE, BOX, FIRST = 512, 4, 8
+#: Vectors in a tile and in a block of it that is compared at once, axes that bound a
+#: tile, and dimensions after which products are bounded again.
+TILE, BLOCK, BOX, FIRST = 2048, 512, 4, 8
 #: Rounding that the turned vectors may show; pairs this near the threshold are computed again from the given ones.
 SLACK = 1e-9
 #: Lengths of vectors that get principal axes; rarer lengths keep their own axes.
@@ -108,6 +109,25 @@ def near_pairs(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.
     yield i, j, s
 
 
+def near_blocks(a: np.ndarray, b: np.ndarray, least: float, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`near_pairs` of whole tiles by blocks; i < j if both are the same tile.
+
+    Blocks whose ranges on the first axis are too far apart are left out.
+    """
+    far = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    for p in range(0, len(a), BLOCK):
+        x = a[p : p + BLOCK]
+        for q in range(p if own else 0, len(b), BLOCK):
+            y = b[q : q + BLOCK]
+            if x[:, 0].min() - y[:, 0].max() > far or y[:, 0].min() - x[:, 0].max() > far:
+                continue
+            for i, j, s in near_pairs(x, y, least):
+                if own and p == q:
+                    keep = i < j
+                    i, j, s = i[keep], j[keep], s[keep]
+                yield i + p, j + q, s
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
     """Cosine of two given vectors in double precision."""
     x, y = x / np.abs(x).max(), y / np.abs(y).max()
@@ -178,10 +198,7 @@ def _compare(axes: dict[int, np.ndarray], least: float, double: bool):
                     node2, n2 = np.frombuffer(row.nodes2, np.int64), np.frombuffer(row.weights2, np.int64)
                     b = _turned(given2, axes)
                 count, count2, found = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), []
-                for i, j, s in near_pairs(a, b, least):
-                    if own:
-                        keep = i < j
-                        i, j, s = i[keep], j[keep], s[keep]
+                for i, j, s in near_blocks(a, b, least, own):
                     sure = s >= least + SLACK
                     for k in np.flatnonzero(~sure):
                         sure[k] = cosine(given[i[k]], given2[j[k]]) >= least

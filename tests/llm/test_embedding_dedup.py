@@ -36,6 +36,7 @@ def plain(rows, least):
 
 def test_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     rnd = random.Random(3)
     centres = [[rnd.gauss(0, 1) for _ in range(12)] for _ in range(12)]
     rows = []
