@@ -56,18 +56,20 @@ def features(word: str) -> list[int]:
 class LogOdds(dict):
     """word -> log-odds of toxic against clean tokens, from hashed counts; a bounded cache."""
 
-    def __init__(self, buckets: np.ndarray, toxic: np.ndarray, clean: np.ndarray, total: tuple[float, float]):
+    def __init__(self, buckets: np.ndarray, toxic: np.ndarray, both: np.ndarray, root: float):
         super().__init__()
-        self.toxic, self.both = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-        self.toxic[buckets], self.both[buckets] = toxic, toxic + clean
-        self.root = (total[0] + 0.5) / (total[0] + total[1] + 1)
-        self.base = math.log(self.root / (1 - self.root))
+        self.sparse = (buckets.astype(np.int32), toxic.astype(np.float32), both.astype(np.float32))
+        self.toxic = self.both = None
+        self.root, self.base = root, math.log(root / (1 - root))
 
     def __reduce__(self):
-        at = np.flatnonzero(self.both)
-        return _log_odds, (at, self.toxic[at], self.both[at], self.root)
+        return LogOdds, (*self.sparse, self.root)
 
     def __missing__(self, word: str) -> float:
+        if self.toxic is None:  # where words are looked up, not where the model is made
+            at, toxic, both = self.sparse
+            self.toxic, self.both = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+            self.toxic[at], self.both[at] = toxic, both
         rate = self.root
         for f in features(word):
             rate = (float(self.toxic[f]) + PRIOR * rate) / (float(self.both[f]) + PRIOR)
@@ -79,12 +81,6 @@ class LogOdds(dict):
         return out
 
 
-def _log_odds(at: np.ndarray, toxic: np.ndarray, both: np.ndarray, root: float) -> LogOdds:
-    out = LogOdds(at, toxic, both - toxic, (0, 0))
-    out.root, out.base = root, math.log(root / (1 - root))
-    return out
-
-
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in linear time.
 
@@ -204,20 +200,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(both[0][k : k + 50_000])] + [pa.array(both[1][k : k + 50_000, c]) for c in range(4)], ["b", "c0", "t0", "c1", "t1"])
 
     counts = sample.mapInArrow(count, "b long, c0 long, t0 long, c1 long, t1 long")
-    counts = counts.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
+    counts = counts.groupBy("b").agg(*[F.sum(c).cast("int").alias(c) for c in ("c0", "t0", "c1", "t1")])
     # One occurrence says nothing beyond its prior: buckets with fewer than two tokens stay out.
-    got = counts.where("c0 + t0 + c1 + t1 >= 2 OR b = -1").toPandas()
-    total = got[got["b"] == -1].drop(columns="b").sum()
-    got = got[got["b"] >= 0]
-    b = got["b"].to_numpy(np.int64)
+    got = counts.where("c0 + t0 + c1 + t1 >= 2 OR b = -1").select(F.col("b").cast("int").alias("b"), "c0", "t0", "c1", "t1").toArrow()
+    got = {name: got.column(name).to_numpy() for name in got.column_names}
+    sums, b = got["b"] == -1, got["b"][got["b"] >= 0]
 
     def odds(folds: tuple[int, ...]) -> LogOdds:
-        toxic, clean = (sum(got[f"{k}{f}"].to_numpy(np.float64) for f in folds) for k in "tc")
-        return LogOdds(b, toxic, clean, (sum(total.get(f"t{f}", 0) for f in folds), sum(total.get(f"c{f}", 0) for f in folds)))
+        toxic, clean = (sum(got[f"{k}{f}"] for f in folds) for k in "tc")
+        root = (int(toxic[sums].sum()) + 0.5) / (int((toxic + clean)[sums].sum()) + 1)
+        return LogOdds(b, toxic[~sums], (toxic + clean)[~sums], root)
 
-    other = [odds((1,)), odds((0,))]
+    other, model = [odds((1,)), odds((0,))], Model(odds((0, 1)))
+    del got, sums, b  # the driver keeps the three models' counts alone
+    pa.default_memory_pool().release_unused()
     raw = _sample_segments(sample, other)
-    model = Model(odds((0, 1)))
     clean = [(s, n) for s, n, y in zip(raw["best"], raw["n"], raw["toxic"], strict=True) if y == 0 and n]
     if clean:
         best, n = np.array(clean, dtype=np.float64).T
@@ -226,8 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         spread = max((q75 - q25) / 1.5725, 0.25)
         model.decay = 1 / spread
         model.log_k = float(np.median(best * model.decay - np.log(n)) - 0.3665)
-    for o in other:
-        o.clear()
     x, y = _sample_evidence(sample, [Model(o, model.decay, model.log_k) for o in other])
     if len(y):
         model.weights = logistic(x, y)
