@@ -67,6 +67,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_slim(df: DataFrame, name: str) -> DataFrame:
+    """`written` for rows of a few numbers: in as many files as their bytes ask for.
+
+    Adaptive execution deals the rows out anew, so that many tasks with little to say
+    don't leave as many small files.
+    """
+    return written(df.hint("rebalance"), name)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what `written` wrote, when nothing reads it any more."""
     delete(df.sparkSession, df.written_path)
@@ -101,7 +110,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = links.select("u", "v").where("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "links")
+    edges = written_slim(edges, "links")
     state = _state(edges)
     for _ in range(most_rounds):
         if not state[0]:
@@ -110,11 +119,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # Large star: larger neighbours hang on the least one.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
+        large = written_slim(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star: smaller neighbours and the node itself hang on the least one.
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        small = written_slim(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         forget(large)
         forget(edges)
         edges, before = small, state

@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, document_columns, written
+from .common import components, document_columns, written, written_slim
 from .simhash import TILE_SCHEMA, GrayIndex, _tiles, forest_from, gray_rank, pairs_within, tile_pairs
 
 LANES, TABLES, LEAD = 4, 20, 16
 #: Bits in which a table's code and the whole fingerprint of candidates may differ.
-NEAR_CODE, NEAR_ALL = 16, 40
-#: Forests that a round takes at most, before all that is left is taken.
-MOST_FORESTS = 16
+NEAR_CODE, NEAR_ALL = 16, 36
+#: Forests that the second round takes; the third takes all that is left.
+MORE_FORESTS = 8
 ROW = np.dtype([("code", "<u8"), ("node", "<i8"), ("fp", "<u8", (LANES,))])
 
 
@@ -74,14 +74,17 @@ def chosen_bits(table: int) -> np.ndarray:
     return np.random.default_rng(1000 + table).permutation(64 * LANES)[:64]
 
 
-def _file(tables: int):
-    picks = [chosen_bits(t) for t in range(tables)]
+def table_codes(fp: np.ndarray, tables: int) -> np.ndarray:
+    """(tables, rows): every table's codes of fingerprints given as bytes, 8 * LANES a row."""
+    bits = np.unpackbits(fp.reshape(-1, 8 * LANES), axis=1, bitorder="little")
+    out = [np.ascontiguousarray(np.packbits(bits[:, chosen_bits(t)], axis=1)).view(">u8").ravel() for t in range(tables)]
+    return np.array(out, dtype=np.uint64).reshape(tables, len(bits))
+
 
+def _file(tables: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little")
-            for t, pick in enumerate(picks):
-                code = np.ascontiguousarray(np.packbits(bits[:, pick], axis=1)).view(">u8").ravel().astype(np.uint64)
+            for t, code in enumerate(table_codes(np.frombuffer(b"".join(b["fp"]), np.uint8), tables)):
                 rank = gray_rank(code) ^ np.uint64(1 << 63)
                 yield pd.DataFrame({"rotation": np.int32(t), "rank": rank.view(np.int64), "code": code.view(np.int64), "node": b["node"].to_numpy(), "fp": b["fp"].to_numpy()})
 
@@ -112,7 +115,7 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.
 def _compare(near_code: int, near_all: int, forests: int):
     """(w, u, v): for each row's tiles, links that span all candidates within them, nearest first.
 
-    Rows may say what is known: `known` groups (node, component), and `bad` pairs
+    A pair that met in an earlier table is left to that one. Rows may say what is known: `known` groups (node, component), and `bad` pairs
     that were looked at and aren't similar. Links within a group and bad pairs are
     left out, and `forests` spanning forests are taken of what is left, one after the
     other, or all of it if `forests` is 0.
@@ -120,7 +123,7 @@ def _compare(near_code: int, near_all: int, forests: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for w, x, y, known, bad in zip(batch["w"], batch["codes"], batch["codes2"], batch["known"], batch["bad"], strict=True):
+            for w, t, x, y, known, bad in zip(batch["w"], batch["rotation"], batch["codes"], batch["codes2"], batch["known"], batch["bad"], strict=True):
                 a = np.frombuffer(x, ROW)
                 if y is None:
                     both, shift = a, 0
@@ -140,6 +143,11 @@ def _compare(near_code: int, near_all: int, forests: int):
                 if not found:
                     continue
                 i, j, far = (np.concatenate(c) for c in zip(*found, strict=True))
+                if t and len(i):
+                    for code in table_codes(np.ascontiguousarray(both["fp"]).view(np.uint8), int(t)):
+                        apart = code[i] ^ code[j]
+                        new = (apart >> np.uint64(64 - LEAD) != 0) | (np.bitwise_count(apart) > near_code)
+                        i, j, far = i[new], j[new], far[new]
                 group = np.arange(n)
                 if known is not None:
                     at = {v: k for k, v in enumerate(both["node"].tolist())}
@@ -161,11 +169,11 @@ def _compare(near_code: int, near_all: int, forests: int):
     return run
 
 
-def text_tiles(nodes: DataFrame, tables: int = TABLES, lead: int = LEAD) -> DataFrame:
+def text_tiles(nodes: DataFrame) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = nodes.where("fp IS NOT NULL").select("node", "fp").mapInPandas(_file(tables), "rotation int, rank long, code long, node long, fp binary")
+    filed = nodes.where("fp IS NOT NULL").select("node", "fp").mapInPandas(_file(TABLES), "rotation int, rank long, code long, node long, fp binary")
     filed = filed.repartitionByRange(parts, "rotation", "rank", "node").sortWithinPartitions("rotation", "rank", "node")
-    return written(filed.select("rotation", "code", "node", "fp").mapInPandas(_tiles([lead] * tables, ROW), TILE_SCHEMA), "text-tiles")
+    return written(filed.select("rotation", "code", "node", "fp").mapInPandas(_tiles([LEAD] * TABLES, ROW), TILE_SCHEMA), "text-tiles")
 
 
 def shingle_set(words: int):
@@ -196,33 +204,34 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, le
     sets = written(texts.mapInArrow(shingle_set(words), "node long, shingles array<long>"), "candidate-shingles").dropDuplicates(["node"])
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     pairs = pairs.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("o"))
-    return written(pairs.select("u", "v", (F.col("o") >= least * (F.col("n") - F.col("o")) - 1e-9).alias("ok")), "verified-links")
+    return written_slim(pairs.select("u", "v", (F.col("o") >= least * (F.col("n") - F.col("o")) - 1e-9).alias("ok")), "verified-links")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Verified links that span what all candidates with at least `least` similarity link.
 
-    A round verifies the links of a spanning forest of each pair of tiles. Where some
-    fail, the next round takes further forests of the candidates that are left, four
-    times as many and at last all, until no tiles have candidates left between the
-    groups that they fall into. So every candidate is verified or lies in one group,
-    and groups of many near copies cost a few links a text.
+    The first round verifies the links of a spanning forest of each pair of tiles.
+    Where some fail, the second takes further forests of the candidates that are left
+    between the groups that the verified links make, and the third takes all. So
+    every candidate is verified or lies in one group, and groups of many near copies
+    cost a few links a text.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = tile_pairs(text_tiles(nodes), NEAR_CODE, parts).withColumn("w", F.xxhash64("codes", "codes2"))
+    # Written, as every round reads it again.
+    work = written(tile_pairs(text_tiles(nodes), NEAR_CODE, parts).withColumn("w", F.xxhash64("codes", "codes2")), "tile-pairs")
     known = "array<struct<node:bigint,component:bigint>>"
     todo = work.withColumn("known", F.lit(None).cast(known)).withColumn("bad", F.lit(None).cast("array<struct<u:bigint,v:bigint>>"))
     emitted = done = None
     forests = 1
     while True:
-        found = todo.select("w", "codes", "codes2", "known", "bad").mapInPandas(_compare(NEAR_CODE, NEAR_ALL, forests), "w long, u long, v long")
-        found = written(found.select("w", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidate-links")
+        found = todo.select("w", "rotation", "codes", "codes2", "known", "bad").mapInPandas(_compare(NEAR_CODE, NEAR_ALL, forests), "w long, u long, v long")
+        found = written_slim(found.select("w", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidate-links")
         new = found.select("u", "v").distinct()
         new = new if done is None else new.join(done, ["u", "v"], "left_anti")
         now = verified(docs, nodes, new, words, least)
         done = now if done is None else done.unionByName(now)
         bad = done.where("NOT ok").select("u", "v")
-        again = written(found.join(bad, ["u", "v"], "left_semi").select("w").distinct(), "open-tiles")
+        again = written_slim(found.join(bad, ["u", "v"], "left_semi").select("w").distinct(), "open-tiles")
         emitted = found if emitted is None else emitted.unionByName(found)
         if not forests or again.isEmpty():
             return done.where("ok").select("u", "v")
@@ -233,7 +242,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int = 5, least: float =
         off = mine.join(bad, ["u", "v"]).groupBy("w").agg(F.collect_list(F.struct("u", "v")).alias("bad"))
         todo = work.join(off, "w").join(ends, "w", "left").withColumn("known", F.coalesce("known", F.array().cast(known)))
         todo = todo.repartition(parts, "w")
-        forests = 4 * forests if forests < MOST_FORESTS else 0
+        forests = MORE_FORESTS if forests == 1 else 0
 
 
 def near_duplicate_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -245,7 +254,7 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, least: float = 0.8) ->
     it has none. No rows give no rows.
     """
     nodes = text_nodes(docs)
-    groups = components(written(near_links(docs, nodes, words, least), "near-links"))
+    groups = components(written_slim(near_links(docs, nodes, words, least), "near-links"))
     nodes = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keep = nodes.groupBy("component").agg(F.min("least").alias("keep_id"))
     return nodes.join(keep, "component").select("node", "component", "keep_id", "least")
