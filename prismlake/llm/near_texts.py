@@ -11,12 +11,15 @@ descending nodes with accumulated differences.
 A pair whose fingerprints differ in a share p of the bits meets in one of t
 tables with b leading bits with probability 1 - (1 - (1 - p)^b)^t. At a Jaccard
 similarity of 0.8 of five-word shingles p is about 0.055 (0.10 for one pair in a
-hundred), so 20 tables of 16 bits miss about 3 pairs in 1000 there, and fewer of
-those that are more similar.
+hundred) if the difference is single words scattered over the text. If it is one
+passage of new words, p is about 0.15 and the tables miss most pairs. So the
+fingerprints only find groups early: an exact prefix filter on the shingles
+themselves then takes every pair between the groups, and no pair is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, document_columns, written, written_slim
+from .common import components, document_columns, forget, written, written_slim
 from .simhash import TILE_SCHEMA, GrayIndex, _tiles, forest_from, gray_rank, pairs_within, tile_pairs
 
 LANES, TABLES, LEAD = 4, 20, 16
@@ -34,6 +37,8 @@ LANES, TABLES, LEAD = 4, 20, 16
 NEAR_CODE, NEAR_ALL = 16, 36
 #: Forests that the second round takes; the third takes all that is left.
 MORE_FORESTS = 8
+#: Shingles in this many of one text in COMMON_OF count as common, at most so many; a matter of speed, not of result.
+COMMON_IN, COMMON_OF, COMMON_MOST = 8, 16, 100_000
 ROW = np.dtype([("code", "<u8"), ("node", "<i8"), ("fp", "<u8", (LANES,))])
 
 
@@ -176,21 +181,84 @@ def text_tiles(nodes: DataFrame) -> DataFrame:
     return written(filed.select("rotation", "code", "node", "fp").mapInPandas(_tiles([LEAD] * TABLES, ROW), TILE_SCHEMA), "text-tiles")
 
 
+def shingle_hashes(text: str | None, words: int) -> set[int]:
+    """Distinct 64-bit hashes of a text's word shingles; A-Z count as a-z."""
+    w = (text or "").encode("utf-8").lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return {xxhash.xxh64_intdigest(b" ".join(w[k : k + words])) - (1 << 63) for k in range(n)}
+
+
 def shingle_set(words: int):
-    """Distinct 64-bit hashes of a text's word shingles, sorted; A-Z count as a-z."""
+    """Shingle hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column("text"):
-                w = (t.as_py() or "").encode("utf-8").lower().split()
-                n = max(1, len(w) - words + 1) if w else 0
-                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[k : k + words])) - (1 << 63) for k in range(n)}))
+            sets = [sorted(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
 
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """The commonest shingles of a sample of the texts, sorted."""
+    some = docs.select(F.xxhash64("text").alias("node"), "text").where(F.pmod(F.xxhash64(F.lit("common"), "node"), F.lit(COMMON_OF)) == 0)
+    each = some.mapInArrow(shingle_set(words), "node long, shingles array<long>").select(F.explode("shingles").alias("s"))
+    most = each.groupBy("s").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "s").limit(COMMON_MOST)
+    return np.sort(np.array([r.s for r in most.select("s").collect()], dtype=np.int64))
+
+
+def _prefixes(words: int, least: float, common: np.ndarray):
+    """(doc_id, node, n, prefix): the first of a text's n shingles, common ones ordered last and others by hash.
+
+    Two texts with at least `least` similarity share `least` of either's shingles, so
+    the first one they share, in an order that holds for all texts, is among the
+    first n - ceil(least * n) + 1 of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, firsts = [], []
+            for t in b.column("text"):
+                found = shingle_hashes(t.as_py(), words)
+                h = np.sort(np.fromiter(found, np.int64, len(found)))
+                late = np.isin(h, common)
+                sizes.append(len(h))
+                firsts.append(np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
+            )
+
+    return run
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v): all pairs of different groups that may have at least `least` similarity.
+
+    groups: (node, component); other texts are groups of their own. Pairs share a
+    shingle of both prefixes, and enough of them for what lies behind the prefixes
+    to make up the rest; no pair that is similar enough is left out.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
+    first = slim.mapInArrow(_prefixes(words, least, common_shingles(docs, words)), "doc_id long, node long, n int, prefix array<long>").where("n > 0")
+    mark = nodes.select("node", "least").join(groups, "node", "left").select(F.col("node").alias("_node"), F.col("least").alias("_least"), F.coalesce("component", "node").alias("component"))
+    first = first.join(mark, F.col("node").eqNullSafe(F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")))
+    first = written(first.select("node", "n", "component", "prefix"), "prefixes")
+    spread = first.select("node", "n", "component", F.posexplode("prefix").alias("at", "s"))
+    shared = spread.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("s")
+    spread = written_slim(spread.join(shared, "s", "left_semi").dropDuplicates(["s", "node"]), "shared-shingles")
+    forget(first)
+    u = spread.select("s", *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "at")])
+    v = spread.select("s", *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "at")])
+    met = u.join(v, "s").where(f"node_u < node_v AND component_u <> component_v AND least(n_u, n_v) >= {least} * greatest(n_u, n_v) - 1e-9")
+    met = met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(
+        F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"), F.count("*").alias("o"), F.max(F.expr("least(n_u - at_u, n_v - at_v)")).alias("most")
+    )
+    # All that two texts share comes at or behind the first that they share; and what isn't in both prefixes is behind the prefix that ends first.
+    need = f"({least} * (n_u + n_v) / {1 + least} - 1e-6)"
+    behind = f"ceil({least} * greatest(n_u, n_v) - 1e-9) - 1"
+    return met.where(f"most >= {need} AND o + {behind} >= {need}").select("u", "v")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
     """(u, v, ok): whether the links' texts have at least `least` Jaccard similarity.
 
@@ -208,7 +276,20 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, le
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """Verified links that span what all candidates with at least `least` similarity link.
+    """Verified links that span what all pairs with at least `least` similarity link.
+
+    The fingerprints' links come first; then every pair between the groups that these
+    make and that passes the prefix filter is verified.
+    """
+    done = fingerprint_links(docs, nodes, words, least)
+    links = done.where("ok").select("u", "v")
+    new = prefix_pairs(docs, nodes, components(links), words, least)
+    new = written_slim(new.join(done.select("u", "v"), ["u", "v"], "left_anti"), "prefix-links")
+    return links.unionByName(verified(docs, nodes, new, words, least).where("ok").select("u", "v"))
+
+
+def fingerprint_links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v, ok): verified links that span what the fingerprints' candidates link.
 
     The first round verifies the links of a spanning forest of each pair of tiles.
     Where some fail, the second takes further forests of the candidates that are left
@@ -234,7 +315,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int = 5, least: float =
         again = written_slim(found.join(bad, ["u", "v"], "left_semi").select("w").distinct(), "open-tiles")
         emitted = found if emitted is None else emitted.unionByName(found)
         if not forests or again.isEmpty():
-            return done.where("ok").select("u", "v")
+            forget(work)
+            return done
         groups = components(done.where("ok").select("u", "v"))
         mine = emitted.join(again, "w")
         ends = mine.select("w", F.col("u").alias("node")).union(mine.select("w", "v")).distinct()

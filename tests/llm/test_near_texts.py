@@ -93,3 +93,32 @@ def test_stage_columns_and_empty(spark):
     label = plain_groups([r.text for r in docs.collect()])
     assert out.count() == len(set(label.values()))
     assert near_texts.without_near_duplicates(none_of(docs)).collect() == []
+
+
+def test_passages_and_short_texts_are_found(spark, monkeypatch):
+    """Pairs that differ in one passage of new words, and pairs of 8 to 12 words."""
+    monkeypatch.setattr(simhash, "TILE", 32)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for n in (60, 100, 400):
+        for _ in range(20):
+            base = [word() for _ in range(n)]
+            texts += [base, base + [word() for _ in range((n - 4) // 4)]]
+            base, k = [word() for _ in range(n)], n // 2
+            # About a ninth of the shingles is another's on either side.
+            texts += [base, base[:k] + [word() for _ in range(max(1, (n - 4) // 9 - 4))] + base[k + max(1, (n - 4) // 9 - 4) :]]
+    for n in (8, 9, 10, 11, 12):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            texts += [base, [*base, word()]]
+    # A passage that many texts share must not join them.
+    passage = [word() for _ in range(12)]
+    texts += [[word() for _ in range(40)] + passage for _ in range(150)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    label, best = plain_groups([t for _, t in rows]), {}
+    for i, t in rows:
+        best[label[t]] = min(i, best.get(label[t], i))
+    assert len(best) < len(rows) - 100
+    assert {r.doc_id for r in near_texts.without_near_duplicates(docs).collect()} == set(best.values())
