@@ -100,20 +100,24 @@ def column_sum(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
 
 
 def blocks16(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
-    """Blocks of 16 bytes for 16 samples of one column parity: largest, smallest, their places, and 7-bit steps."""
+    """Blocks of 16 bytes for 16 samples of one column parity: largest, smallest, their places, and 7-bit steps.
+
+    A block whose two places are one has a step more, so the row's other blocks start 7 bits later.
+    """
     out = np.zeros((height, width), np.int64)
     for y in range(height):
-        row = data[y * width : (y + 1) * width].ljust(width, b"\0")
+        row, start = int.from_bytes(data[y * width : (y + 2) * width], "little"), 0
         for k in range(width // 16):
-            v = int.from_bytes(row[16 * k : 16 * k + 16], "little")
+            v = row >> start & (1 << 135) - 1
             top, low, at_top, at_low = v & 0x7FF, v >> 11 & 0x7FF, v >> 22 & 15, v >> 26 & 15
             shift = next((s for s in range(4) if 0x80 << s > top - low), 4)
-            rest = iter(range(30, 128, 7))
+            rest = iter(range(30, 135, 7))
             x = 32 * (k // 2) + k % 2
             for i in range(16):
                 p = top if i == at_top else low if i == at_low else min(0x7FF, ((v >> next(rest) & 127) << shift) + low)
                 if x + 2 * i < width:
                     out[y, x + 2 * i] = p << 1
+            start += 135 if at_top == at_low else 128
     return out
 
 

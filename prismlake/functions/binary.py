@@ -6,11 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def unpack(data: Column, bits: int, count: int, little: bool = False) -> Column:
-    """Array of `count` numbers of up to 24 bits, packed from the top of each byte or from the bottom (little)."""
+def _places(count: int | Column) -> Column:
+    """0 to count - 1; empty if count is 0."""
+    n = F.lit(count) if isinstance(count, int) else count
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+
+
+def unpack(data: Column, bits: int, count: int | Column | None = None, little: bool = False) -> Column:
+    """Array of `count` numbers of up to 24 bits, packed from the top of each byte or from the bottom (little); all whole ones if count is None."""
+    if count is None:
+        count = F.floor(F.length(data) * F.lit(8).cast("long") / bits).cast("int")
 
     def value(i: Column) -> Column:
-        start = i * bits
+        start = i.cast("long") * bits
         four = F.hex(F.substring(data, F.floor(start / 8).cast("int") + 1, F.lit(4)))
         four = F.rpad(four, 8, "0")
         if little:
@@ -19,21 +27,22 @@ def unpack(data: Column, bits: int, count: int, little: bool = False) -> Column:
         shift = skip if little else F.lit(32 - bits) - skip
         return F.call_function("shiftright", word, shift).bitwiseAND((1 << bits) - 1).cast("int")
 
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), value)
+    return F.transform(_places(count), value)
 
 
-def key_xor(data: Column, first: int, factor: int, count: int, start: int = 0x60) -> Column:
-    """Array of bytes under a running key: the key grows by factor times a counter that grows by one each byte.
+def key_xor(data: Column, first: int, factor: int, count: int | Column, start: int = 0x60) -> Column:
+    """Array of `count` bytes under a running key: the key grows by factor times a counter that grows by one each byte.
 
     In closed form the key of byte i is first + factor * (start * (i + 1) + i * (i + 1) / 2).
     """
 
     def value(i: Column) -> Column:
         byte = F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
-        key = (F.lit(first) + F.lit(factor) * (F.lit(start) * (i + 1) + F.floor(i * (i + 1) / 2))).cast("int").bitwiseAND(255)
+        k = i.cast("long")
+        key = (F.lit(first) + F.lit(factor) * (F.lit(start) * (k + 1) + F.floor(k * (k + 1) / 2))).bitwiseAND(255).cast("int")
         return byte.bitwiseXOR(key)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), value)
+    return F.transform(_places(count), value)
 
 
 #: Integer matrix from chroma to red, green and blue, in 4096ths.

@@ -58,6 +58,19 @@ def _(spark, d):
     return b.select("doc_id", F.posexplode(binary.key_xor(C("b"), 17, 91, 40)).alias("i", "v"))
 
 
+# The queries above read the first 40 bytes, as their SQL does; these read each whole text and have no SQL.
+for _bits, _name, _little in ((7, "dec01_unpack7", False), (8, "dec02_unpack8", False), (10, "dec03_unpack10", False), (12, "dec04_unpack12", False), (12, "dec04_unpack12_le", True), (14, "dec05_unpack14", False), (16, "dec05_unpack16", False)):
+
+    @query(f"{_name}_whole")
+    def _(spark, d, bits=_bits, little=_little):
+        return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.unpack(C("bytes"), bits, None, little)).alias("i", "v"))
+
+
+@query("dec19_key_xor_whole")
+def _(spark, d):
+    return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.key_xor(C("bytes"), 17, 91, F.length("bytes"))).alias("i", "v"))
+
+
 _CB, _CR = "((x // 2 * 2 * 37 + y * 11) % 2000 - 1000)", "((x // 2 * 2 * 53 + y * 7) % 2000 - 1000)"
 
 
@@ -107,14 +120,15 @@ def _(spark, d):
 @query("dec17_blocks16")
 def _(spark, d):
     b = rasters.byte_rows(spark, d)
-    s = b.select(C("doc_id").alias("image_id"), F.lit(0).alias("slice"), F.lit(0).alias("off_y"), F.lit(0).alias("off_x"), F.lit(4).alias("h"), F.lit(64).alias("w"), F.lit("blocks16").alias("codec"), F.lit("{}").alias("options"), C("bytes").alias("data"))
+    s = b.select(C("doc_id").alias("image_id"), F.lit(0).alias("slice"), F.lit(0).alias("off_y"), F.lit(0).alias("off_x"), F.ceil(F.length("bytes") / 64).cast("int").alias("h"), F.lit(64).alias("w"), F.lit("blocks16").alias("codec"), F.lit("{}").alias("options"), C("bytes").alias("data"))
     return slices.decode(s).select(*KEY, "v")
 
 
 @query("dec14_blocks14")
 def _(spark, d):
+    """14 samples take 16 bytes, so each block of 16 KB that is begun holds 512 rows of 28."""
     b = rasters.byte_rows(spark, d)
-    s = b.select(C("doc_id").alias("image_id"), F.lit(0).alias("slice"), F.lit(0).alias("off_y"), F.lit(0).alias("off_x"), F.lit(4).alias("h"), F.lit(28).alias("w"), F.lit("blocks14").alias("codec"), F.lit("{}").alias("options"), C("bytes").alias("data"))
+    s = b.select(C("doc_id").alias("image_id"), F.lit(0).alias("slice"), F.lit(0).alias("off_y"), F.lit(0).alias("off_x"), (F.ceil(F.length("bytes") / 0x4000) * 512).cast("int").alias("h"), F.lit(28).alias("w"), F.lit("blocks14").alias("codec"), F.lit("{}").alias("options"), C("bytes").alias("data"))
     return slices.decode(s).select(*KEY, "v")
 
 

@@ -5,9 +5,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prismlake.codec import bits
-from prismlake.codec.decoders import DECODERS, decrypt, key_stream
+from prismlake.codec.decoders import DECODERS, PanasonicBits, decrypt, key_stream
 from prismlake.codec.encoders import ENCODERS
 from prismlake.functions import binary
+from prismlake.plans.codec_queries import Q
 from prismlake.sources import sinks, slices, tiff
 
 FORMS = [("packed", 4096, {"bits": 12, "order": o}) for o in ("msb", "lsb", "msb16", "msb32")]
@@ -153,3 +154,57 @@ def test_writers(spark):
     assert sinks.files(df, "ppm", 16).first().content.split()[4:7] == [b"1", b"2", b"255"]
     with pytest.raises(ValueError):
         sinks.files(df, "xyz", 16)
+
+
+def test_queries_decode_whole_texts(spark, tmp_path):
+    rnd = np.random.default_rng(4)
+    texts = ["", "a", "é", *["".join(map(chr, rnd.integers(32, 300, n))) for n in (39, 40, 41, 700, 12_000, 50_000)]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = {k: t.encode() for k, t in enumerate(texts)}
+
+    def got(name):
+        return {r.doc_id: (r.n, r.s) for r in Q[name](spark, str(tmp_path)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("i") % 997 + 1) * F.col("v")).alias("s")).collect()}
+
+    def digest(v):
+        return len(v), int(((np.arange(len(v)) % 997 + 1) * v).sum())
+
+    for name, n, little in (("dec01_unpack7", 7, False), ("dec02_unpack8", 8, False), ("dec03_unpack10", 10, False), ("dec04_unpack12", 12, False), ("dec04_unpack12_le", 12, True), ("dec05_unpack14", 14, False), ("dec05_unpack16", 16, False)):
+        want = {}
+        for k, b in raw.items():
+            row = np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little" if little else "big")
+            row = row[: len(row) // n * n].reshape(-1, n).astype(np.int64)
+            if len(row):
+                want[k] = digest(row @ (1 << np.arange(n) if little else 1 << np.arange(n)[::-1]))
+        assert got(f"{name}_whole") == want, name
+    want = {}
+    for k, b in raw.items():
+        key, step, out = 17, 96, []
+        for c in b:
+            key, step = (key + 91 * step) & 255, step + 1
+            out.append(c ^ key)
+        if out:
+            want[k] = digest(np.array(out))
+    assert got("dec19_key_xor_whole") == want
+    for name, codec, width in (("dec17_blocks16", "blocks16", 64), ("dec14_blocks14", "blocks14", 28)):
+        have = {r.image_id: r.s for r in Q[name](spark, str(tmp_path)).groupBy("image_id").agg(F.sum((F.col("y") % 997 + 1) * (F.col("x") + 1) * F.col("v")).alias("s")).collect()}
+        for k, b in raw.items():
+            # A frame that is higher than the text: what lies beyond is zero bytes, which say the same for every height.
+            rows = -(-len(b) // 64) if codec == "blocks16" else -(-len(b) // 0x4000) * 512
+            v = DECODERS[codec](b, rows, width, {}).astype(np.int64)
+            assert have.get(k, 0) == int((v * (np.arange(rows) % 997 + 1)[:, None] * (np.arange(width) + 1)).sum())
+            if rows and codec == "blocks16":
+                assert not DECODERS[codec](b, rows + 3, width, {})[rows:].any()
+            if rows and codec == "blocks14":
+                bits = PanasonicBits(b, 0x2008)
+                for _ in range(rows * 2 * 16):
+                    bits.read(8)
+                assert bits.block == -(-len(b) // 0x4000) - 1 and not bits.left
+
+
+def test_blocks16_with_one_place_for_both():
+    """A block whose largest and smallest share a place has 15 steps and moves what follows by 7 bits."""
+    one = 700 | 600 << 11 | 5 << 22 | 5 << 26 | sum((k + 1) << 30 + 7 * k for k in range(15))
+    two = 500 | 480 << 11 | 0 << 22 | 1 << 26 | sum((k + 1) << 30 + 7 * k for k in range(14))
+    out = DECODERS["blocks16"]((one | two << 135).to_bytes(33, "little")[:32], 1, 32, {})
+    assert out[0, ::2].tolist() == [2 * (700 if i == 5 else 601 + i - (i > 5)) for i in range(16)]
+    assert out[0, 1:28:2].tolist() == [1000, 960, *[2 * (481 + k) for k in range(12)]]
