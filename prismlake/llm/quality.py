@@ -14,7 +14,7 @@ import operator
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, table, written
+from .common import document_columns, forget, table, written
 
-#: The most labelled and unlabelled rows that a fit uses, and the tasks that these are spread over.
-FIT_ROWS, POOL_ROWS, SAMPLE_TASKS = 20_000, 20_000, 16
+#: The most labelled rows that a fit uses, and the tasks that these are spread over.
+FIT_ROWS, SAMPLE_TASKS = 20_000, 16
 #: Rounds of co-training; sure is a calibrated probability this near 0 or 1; share of the labelled rows that a round may add of a class.
 ROUNDS, SURE, GROW = 4, 0.05, 0.2
 #: Hash buckets of words, sources, languages, and classes of stated lengths.
@@ -145,66 +145,142 @@ class CoTrained:
         return self.both.probability(z), 1 / (1 + np.exp(-z))
 
 
+Pick = Callable[[list[Logistic], list[Logistic], list[list[int]]], list[list[np.ndarray]]]
+
+
+def _sure(view: Logistic, scale: Logistic, x: np.ndarray) -> list[np.ndarray]:
+    """How far the rows are from being surely bad and surely good; rounded, so that blocks of any size say the same."""
+    p = np.round(scale.probability(view.logit(x)[:, None]), 9)
+    return [p, np.round(1 - p, 9)]
+
+
 def co_train(x: list[np.ndarray], y: np.ndarray, fold: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> CoTrained:
+    """`co_train_from` with all unlabelled rows, in both views, at hand."""
+    left = np.ones(len(pool[0]), dtype=bool)
+
+    def pick(views: list[Logistic], scales: list[Logistic], shares: list[list[int]]) -> list[list[np.ndarray]]:
+        found = []
+        for v in (0, 1):
+            for off, share in zip(_sure(views[v], scales[v], pool[v]), shares[v], strict=True):
+                sure = np.flatnonzero(left & (off <= SURE))
+                found.append(sure[np.argsort(off[sure], kind="stable")][:share])
+        left[np.concatenate(found)] = False
+        return [[pool[1][k] for k in found[:2]], [pool[0][k] for k in found[2:]]]
+
+    return co_train_from(x, y, fold, pick, rounds)
+
+
+def co_train_from(x: list[np.ndarray], y: np.ndarray, fold: np.ndarray, pick: Pick, rounds: int = ROUNDS) -> CoTrained:
     """Co-trains on the rows of folds 0 to 3 and calibrates on fold 4.
 
-    x: the labelled rows in both views; pool: unlabelled rows in both views. A view
-    that is sure of nothing adds nothing. Too few rows or classes to calibrate on are
-    made up by all rows.
+    x: the labelled rows in both views. pick: for each view the unlabelled rows, not
+    picked before, that it is surest are bad and are good, at most a share of each, as
+    the other view sees them. A view that is sure of nothing adds nothing. Too few
+    rows or classes to calibrate on are made up by all rows.
     """
     train, held = fold != 4, fold == 4
     if len(set(y[held])) < 2 or len(set(y[train])) < 2:
         train = held = np.ones(len(y), dtype=bool)
     given: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    left = np.ones(len(pool[0]), dtype=bool)
     added = []
     for r in range(rounds + 1):
         views, scales = [], []
         for v in (0, 1):
-            rows = np.concatenate([x[v][train]] + [pool[v][i] for i, _ in given[v]])
+            rows = np.concatenate([x[v][train]] + [new for new, _ in given[v]])
             marks = np.concatenate([y[train]] + [m for _, m in given[v]])
             weight = np.concatenate([np.ones(train.sum())] + [np.full(len(m), 0.5) for _, m in given[v]])
             views.append(Logistic(3.0).fit(rows, marks, weight))
             scales.append(Logistic(0.1).fit(views[v].logit(x[v][held])[:, None], y[held]))
-        if r == rounds or len(set(y[train])) < 2 or not left.any():
+        if r == rounds or len(set(y[train])) < 2:
             break
         most = max(1, int(GROW * train.sum()))
-        found = []
+        shares = [max(1, int(most * (y[train] == mark).mean())) for mark in (0.0, 1.0)]
+        found = pick(views, scales, [shares, shares])
+        if not any(len(new) for each in found for new in each):
+            break  # further rounds would say the same
         for v in (0, 1):
-            p = scales[v].probability(views[v].logit(pool[v])[:, None])
-            for mark, off in ((0.0, p), (1.0, 1 - p)):
-                sure = np.flatnonzero(left & (off <= SURE))
-                share = max(1, int(most * (y[train] == mark).mean()))
-                sure = sure[np.argsort(off[sure], kind="stable")][:share]
-                given[1 - v].append((sure, np.full(len(sure), mark)))
-                found.append(sure)
-        left[np.concatenate(found)] = False
-        added.append((sum(map(len, found[:2])), sum(map(len, found[2:]))))
+            given[1 - v] += [(new, np.full(len(new), mark)) for new, mark in zip(found[v], (0.0, 1.0), strict=True)]
+        added.append((sum(map(len, found[0])), sum(map(len, found[1]))))
     model = CoTrained(views, scales, Logistic(0.1), added)
     model.both.fit(model.calibrated(x[0][held], x[1][held]), y[held])
     return model
 
 
+def _surest(views: list[Logistic], scales: list[Logistic], shares: list[list[int]], gone: np.ndarray):
+    """(g, off, doc_id, row): a task's surest rows of each view and mark, g, none of which is gone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for b in batches:
+            b = b[~np.isin(b["row"].to_numpy(), gone)]
+            if not len(b):
+                continue
+            for v, c in ((0, "t"), (1, "m")):
+                x = np.frombuffer(b"".join(b[c]), np.float32).reshape(len(b), -1)
+                for mark, off in enumerate(_sure(views[v], scales[v], x)):
+                    g, ok = 2 * v + mark, off <= SURE
+                    new = pd.DataFrame({"g": np.int32(g), "off": off[ok], "doc_id": b["doc_id"].to_numpy()[ok], "h": b["h"].to_numpy()[ok], "row": b["row"].to_numpy()[ok]})
+                    new = pd.concat([best[g], new]) if g in best else new
+                    best[g] = new.sort_values(["off", "doc_id", "h"], kind="stable").head(shares[v][mark])
+        yield from (rows for rows in best.values() if len(rows))
+
+    return run
+
+
+def _pick_from(pool: DataFrame) -> Pick:
+    """Picks from all rows of a written table (doc_id, h, row, t, m), scored where they lie; the driver gets the picked rows only."""
+    gone = np.empty(0, np.int64)
+
+    def pick(views: list[Logistic], scales: list[Logistic], shares: list[list[int]]) -> list[list[np.ndarray]]:
+        nonlocal gone
+        best = written(pool.mapInPandas(_surest(views, scales, shares, gone), "g int, off double, doc_id long, h long, row long"), "quality-sure")
+        rows = []
+        for g in range(4):
+            top = best.where(F.col("g") == g).orderBy("off", "doc_id", "h").limit(shares[g // 2][g % 2])
+            rows.append(np.array([r.row for r in top.select("row", "off", "doc_id", "h").collect()], dtype=np.int64))
+        forget(best)
+        mine = np.unique(np.concatenate(rows))
+        gone = np.concatenate([gone, mine])
+        if not len(mine):
+            return [[np.empty((0, n), np.float32)] * 2 for n in (N_META, N_TEXT)]
+
+        def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[np.isin(b["row"].to_numpy(), mine)]
+
+        got = {r.row: (r.t, r.m) for r in pool.select("row", "t", "m").mapInPandas(chosen, "row long, t binary, m binary").collect()}
+        see = lambda k, c, n: np.frombuffer(b"".join(bytes(got[r][c]) for r in rows[k].tolist()), np.float32).reshape(-1, n)
+        return [[see(0, 1, N_META), see(1, 1, N_META)], [see(2, 0, N_TEXT), see(3, 0, N_TEXT)]]
+
+    return pick
+
+
 def _held_out(doc_id: str) -> str:
     return f"pmod(crc32(encode(cast({doc_id} as string), 'UTF-8')), 4) = 2"
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool: int = POOL_ROWS) -> CoTrained:
-    """Co-trains on at most `rows` labelled and `pool` unlabelled documents.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool: int | None = None) -> CoTrained:
+    """Co-trains on at most `rows` labelled and all unlabelled documents, or at most `pool` of them.
 
-    Both are those with the least hash of their id, the same in every run. Ids whose
-    CRC-32 is 2 modulo 4 are held out of both. Repeated labels of an id count once,
-    good only if all say so. The driver gets the bounded sample's two feature rows.
+    A sample is the documents with the least hash of their id, the same in every run.
+    Ids whose CRC-32 is 2 modulo 4 are held out of both. Repeated labels of an id count
+    once, good only if all say so. Every round scores all unlabelled documents on the
+    executors; the driver gets the features of the labelled rows and of the picked ones.
     """
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(f"NOT {_held_out('doc_id')}")
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1).cast("int")).alias("y"))
     known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     free = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).where(f"NOT {_held_out('_id')}").join(known, "_id", "left_anti")
     order = [F.xxhash64("_id"), "_id"]
-    chosen = ids.orderBy(*order).limit(rows).unionByName(free.distinct().orderBy(*order).limit(pool).withColumn("y", F.lit(None).cast("int")))
-    chosen = F.broadcast(chosen)  # at most `rows` + `pool` rows of 16 bytes
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars").join(chosen, F.expr("doc_id = _id"))
-    sample = sample.select("doc_id", "text", "source", "lang", "n_chars", "y").repartition(SAMPLE_TASKS)
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    chosen = F.broadcast(ids.orderBy(*order).limit(rows))  # at most `rows` rows of 16 bytes
+    sample = parts.join(chosen, F.expr("doc_id = _id")).select("doc_id", "text", "source", "lang", "n_chars", "y").repartition(SAMPLE_TASKS)
+    if pool is None:
+        rest = parts.where("doc_id IS NOT NULL").where(f"NOT {_held_out('doc_id')}")
+        slim = rest.withColumn("y", F.lit(None).cast("int"))
+    else:
+        slim = parts.join(F.broadcast(free.distinct().orderBy(*order).limit(pool)), F.expr("doc_id = _id")).withColumn("y", F.lit(None).cast("int"))
+    slim = slim.select("doc_id", "text", "source", "lang", "n_chars", "y")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -213,15 +289,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool: int = PO
                 "m": [meta_view(s, g, None if pd.isna(c) else int(c)).astype(np.float32).tobytes() for s, g, c in zip(b["source"], b["lang"], b["n_chars"], strict=True)],
             })
 
-    got = sample.mapInPandas(features, "doc_id long, y int, t binary, m binary")
-    got = written(got, "quality-sample").toPandas().sort_values(["doc_id"], kind="stable")
-    known_rows, free_rows = got[got["y"].notna()], got[got["y"].isna()]
-
-    def views(rows: pd.DataFrame) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(rows[c]), np.float32).reshape(-1, n) for c, n in (("t", N_TEXT), ("m", N_META))]
-
-    fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 for i in known_rows["doc_id"]], dtype=int)
-    return co_train(views(known_rows), known_rows["y"].to_numpy(np.float64), fold, views(free_rows))
+    schema = "doc_id long, y int, t binary, m binary"
+    got = written(sample.mapInPandas(features, schema), "quality-sample").toPandas().sort_values(["doc_id"], kind="stable")
+    far = slim.mapInPandas(features, schema).select("doc_id", F.xxhash64("t", "m").alias("h"), "t", "m").join(known, F.col("doc_id") == F.col("_id"), "left_anti")
+    # Numbered as written, so that later readers see the same numbers.
+    far = written(far.withColumn("row", F.monotonically_increasing_id()), "quality-pool")
+    views = [np.frombuffer(b"".join(got[c]), np.float32).reshape(-1, n) for c, n in (("t", N_TEXT), ("m", N_META))]
+    fold = np.array([zlib.crc32(f"fold {i}".encode()) % 5 for i in got["doc_id"]], dtype=int)
+    return co_train_from(views, got["y"].to_numpy(np.float64), fold, _pick_from(far))
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

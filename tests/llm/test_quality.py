@@ -75,3 +75,20 @@ def test_odd_and_empty(spark):
     kept = quality.good_documents(docs, labels)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 100 < kept.count() < 200
     assert quality.good_documents(none_of(docs), labels).collect() == []
+
+
+def test_every_unlabelled_document_can_be_picked(spark, monkeypatch):
+    """As with all unlabelled rows at hand, beyond what was once a fixed number of them."""
+    monkeypatch.setattr(quality, "POOL_ROWS", 40, raising=False)
+    monkeypatch.setattr(quality.fit, "__defaults__", (quality.FIT_ROWS, *[40 if d is not None else None for d in quality.fit.__defaults__[1:]]))
+    docs, labels, _ = corpus(spark)
+    few = labels.where("doc_id < 150")
+    model = quality.fit(docs, few)
+    known, y, rows = {r.doc_id for r in few.collect()}, {r.doc_id: r.quality for r in few.collect() if r.quality is not None}, sorted(docs.collect(), key=lambda r: r.doc_id)
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    see = lambda rs: [np.stack([quality.text_view(r.text) for r in rs]).astype(np.float32), np.stack([quality.meta_view(r.source, r.lang, r.n_chars) for r in rs]).astype(np.float32)]
+    mine, free = [r for r in rows if r.doc_id in y], [r for r in rows if r.doc_id not in known]
+    fold = np.array([zlib.crc32(f"fold {r.doc_id}".encode()) % 5 for r in mine])
+    plain = quality.co_train(see(mine), np.array([float(y[r.doc_id]) for r in mine]), fold, see(free))
+    assert sum(map(sum, model.added)) > 40 and model.added == plain.added
+    assert np.allclose(model.both.weights, plain.both.weights, atol=1e-4)
