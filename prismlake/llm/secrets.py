@@ -34,7 +34,8 @@ _HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
 # Parts. Groups named x are the span that counts.
 _ID = re.compile(r"""(?:access_?key_?id|client_?id|user_?name|user_?id|user|login|account)["']?\x20*[:=]\x20*["']?(?P<x>[A-Za-z0-9._@-]{3,})""", re.I | re.A)
 _SHORT = re.compile(r"""(?:password|passwd|pass|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<x>[A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?P<x>[A-Za-z0-9+/_-]{20,}={0,2})", re.A)
+# A run may start behind "=", as values do; as padding it only ends one.
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?P<x>[A-Za-z0-9+/_-]{20,}={0,2})", re.A)
 _ENDPOINT = re.compile(r"(?P<x>(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]+|(?<![\w.-])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.]))", re.I | re.A)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
