@@ -59,9 +59,27 @@ def largest(directories: DataFrame) -> DataFrame:
     return directories.join(best, ["path", "ifd_id"])
 
 
+def olympus_strips(d: DataFrame) -> DataFrame:
+    """Olympus data in several strips as one strip of the whole image: words, or interlaced rows if it is too short for words.
+
+    Data too short for both get a codec that no decoder has, so an error row.
+    """
+    total, pixels = F.expr("aggregate(size, 0D, (a, x) -> a + x)"), F.col("w").cast("long") * F.col("h")
+    codec = F.when(total >= pixels * 2, "words").when(total * 2 >= pixels * 3, "interlaced").otherwise("olympus of unknown form")
+    options = F.when(codec == "words", F.concat(F.lit('{"big": '), (~F.col("little")).cast("string"), F.lit(', "shift": 4}'))).otherwise("{}")
+    many = F.upper(F.coalesce("make", F.lit(""))).startswith("OLYMPUS") & (F.size("at") > 1)
+    whole = {
+        "form": F.struct(codec.alias("codec"), options.alias("options")), "at": F.expr("slice(at, 1, 1)"), "size": F.array(total),
+        "tw": F.col("w"), "th": F.col("h"),
+    }
+    types = dict(d.dtypes)
+    return d.withColumns({c: F.when(many, v.cast(types[c])).otherwise(F.col(c)) for c, v in whole.items()})
+
+
 def raw_slices(files: DataFrame, tags: DataFrame) -> DataFrame:
     """Slices of the largest raw directory of each file, ready for `slices.decode`, with the path."""
     d = largest(raw_directories(tags)).withColumn("form", form(F.col("make"), F.col("compression"))).where("form IS NOT NULL")
+    d = olympus_strips(d)
     each = d.select("*", F.posexplode(F.arrays_zip("at", "size")).alias("slice", "s")).join(files.select("path", "content", F.length("content").alias("_n")), "path")
     each = each.where("s.at + s.size <= _n")
     across = F.ceil(F.col("w") / F.col("tw"))

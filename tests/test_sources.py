@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from prismlake.operators import dither
-from prismlake.sources import vendors
+from prismlake.sources import raw, slices, vendors
 
 
 def test_fuji(spark):
@@ -40,3 +40,26 @@ def test_dither_stays_near_the_table(spark):
     assert max(map(abs, off)) <= 2 * 4 and len(set(off)) > 1
     again = {(r.y, r.x): r.v for r in dither.dithered(df.repartition(5), table).collect()}
     assert out == again
+
+
+def test_olympus_strips_are_uncompressed(spark):
+    v = [[(y * 211 + x * 97) % 4096 for x in range(4)] for y in range(4)]
+    packed = lambda rows: b"".join(int("".join(f"{p:012b}" for p in r), 2).to_bytes(6, "big") for r in rows)
+    data = {
+        "little": b"".join(struct.pack("<4H", *[p << 4 for p in r]) for r in v), "big": b"".join(struct.pack(">4H", *[p << 4 for p in r]) for r in v),
+        "interlaced": packed(v[::2]).ljust(2048, b"\0") + packed(v[1::2]), "short": bytes(20),
+    }
+    files = spark.createDataFrame([(k, bytearray(b"12345678" + d)) for k, d in data.items()], "path string, content binary")
+    rows = []
+    for k, d in data.items():
+        # Two strips; the interlaced file is given the bytes of its samples only, as far as the form goes.
+        total = 24 if k == "interlaced" else len(d)
+        for tag, nums, text in ((256, [4], None), (257, [4], None), (259, [1], None), (271, [], "OLYMPUS IMAGING"), (273, [8, 8 + total // 2], None), (278, [2], None), (279, [total // 2] * 2, None)):
+            rows.append((k, 0, tag, [float(x) for x in nums], text, len(rows), None, k != "big"))
+    tags = spark.createDataFrame(rows, "path string, ifd_id int, tag int, nums array<double>, text string, preorder int, error string, little boolean")
+    s = raw.raw_slices(files, tags)
+    assert {r.path: (r.codec, r.h, r.w) for r in s.collect()} == {"little": ("words", 4, 4), "big": ("words", 4, 4), "interlaced": ("interlaced", 4, 4), "short": ("olympus of unknown form", 4, 4)}
+    got = slices.decode(s).join(s.select("image_id", "path"), "image_id").collect()
+    for k in ("little", "big"):
+        assert sorted((r.y, r.x, r.v) for r in got if r.path == k) == [(y, x, v[y][x]) for y in range(4) for x in range(4)]
+    assert [r.error is not None for r in got if r.path == "short"] == [True]
