@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, written
-from .simhash import forest
+from .common import components, forest, forget, table, written
 
 #: Vectors in a tile and in a block of it that is compared at once, axes that bound a
 #: tile, and dimensions after which products are bounded again.

@@ -6,15 +6,19 @@ the texts' distinct words, which change in few bits when few words do. A
 fingerprint is filed in several tables; a table leads with bits of its own choice
 and is otherwise the Gray-order hierarchical index of `simhash.py`: rows sorted by
 Gray rank, cut into tiles under one value of the leading bits, compared by
-descending nodes with accumulated differences.
+descending nodes with accumulated differences. The nearest candidates that span a
+tile are verified on the shingles themselves, and those that hold make groups.
 
 A pair whose fingerprints differ in a share p of the bits meets in one of t
 tables with b leading bits with probability 1 - (1 - (1 - p)^b)^t. At a Jaccard
-similarity of 0.8 of five-word shingles p is about 0.055 (0.10 for one pair in a
-hundred) if the difference is single words scattered over the text. If it is one
-passage of new words, p is about 0.15 and the tables miss most pairs. So the
-fingerprints only find groups early: an exact prefix filter on the shingles
-themselves then takes every pair between the groups, and no pair is missed.
+similarity of 0.8 of five-word shingles p is about 0.055 if the difference is
+single words scattered over the text, and about 0.15 if it is one passage of new
+words. So the index finds most groups but not all links. An exact prefix filter
+on the shingles then takes every pair between the groups: shingles that few texts
+share give pairs of texts; texts that share common ones are cut into blocks, and
+pairs of blocks are compared shingle by shingle in a task of their own, which
+returns the links that span what it finds. No pair is missed, and a group of n
+near copies costs n links, however many of its pairs aren't similar enough.
 """
 
 from __future__ import annotations
@@ -29,49 +33,318 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, document_columns, forget, written, written_slim
-from .simhash import TILE_SCHEMA, GrayIndex, _tiles, forest_from, gray_rank, pairs_within, tile_pairs
+from .common import bounded, components, document_columns, forest_from, forget, release, written, written_slim
+from .simhash import TILE_SCHEMA, GrayIndex, _tiles, gray_rank, pairs_within, tile_pairs
 
-LANES, TABLES, LEAD = 4, 20, 16
-#: Bits in which a table's code and the whole fingerprint of candidates may differ.
+LANES, TABLES, LEAD = 4, 8, 16
+#: Bits in which a table's code and the whole fingerprint of early candidates may differ; the prefix filter takes the rest.
 NEAR_CODE, NEAR_ALL = 16, 36
-#: Forests that the second round takes; the third takes all that is left.
-MORE_FORESTS = 8
-#: Shingles in this many of one text in COMMON_OF count as common, at most so many; a matter of speed, not of result.
+#: Shingles in this many of one text in COMMON_OF count as common, at most so many; they only order the prefixes.
 COMMON_IN, COMMON_OF, COMMON_MOST = 8, 16, 100_000
+#: Texts that share a shingle meet in pairs if they are so few, and else in blocks of so many texts or shingles.
+LIGHT, BLOCK_TEXTS, BLOCK_SHINGLES = 32, 256, 1 << 18
+#: Shingles of a pair of blocks that are counted at once.
+COUNT = 1 << 13
 ROW = np.dtype([("code", "<u8"), ("node", "<i8"), ("fp", "<u8", (LANES,))])
 
 
-def word_fingerprint(words: set[bytes]) -> bytes:
+# -- hashes --------------------------------------------------------------------
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scrambled, one to one."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Words(dict):
+    """word -> its 64-bit hash; a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of a text's words in turn; A-Z count as a-z."""
+        words = (text or "").encode("utf-8").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes of the shingles of k words, sorted; fewer words are one shingle."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    k = min(k, len(words))
+    factors = mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.full(len(words) - k + 1, k, np.uint64)
+    for j in range(k):
+        total += words[j : j + len(total)] * factors[j]
+    return np.unique(mixed(total).view(np.int64))
+
+
+def word_fingerprint(words: np.ndarray) -> bytes:
     """SimHash of distinct words in LANES independent words of 64 bits."""
-    out = []
-    for seed in range(LANES):
-        bits, n = np.zeros(64, np.int64), 0
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+    words, out = np.unique(words), []
+    for lane in range(LANES):
+        bits = np.zeros(64, np.int64)
+        h = mixed(words + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
         for k in range(0, len(h), 1 << 16):
             bits += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            n += len(h[k : k + (1 << 16)])
-        out.append(np.packbits(bits * 2 > n, bitorder="little").tobytes())
+        out.append(np.packbits(bits * 2 > len(h), bitorder="little").tobytes())
     return b"".join(out)
 
 
-def text_nodes(docs: DataFrame) -> DataFrame:
-    """(node, least, fp): one row for each distinct text; fp is null for texts without words.
+# -- texts ---------------------------------------------------------------------
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, text): h1 and h2 are 128 bits that stand for the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, sorted, and each one's rank by its count.
 
-    node is a 64-bit hash of the text; least the smallest doc_id that has it.
+    Tasks count each batch and pass on what occurs twice. The sample, its bound and
+    the counts decide on nothing but which shingles a prefix takes first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            sets = [shingles(known.of(t.as_py()), words) for t in b.column("text")]
+            s, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s[n > 1]), pa.array(n[n > 1])], ["s", "n"])
+
+    some = docs.select("text").where(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(COMMON_OF)) == 0)
+    most = some.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    most = most.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "s").limit(COMMON_MOST).select("s").toArrow()
+    s = most.column("s").to_numpy()  # the commonest first
+    order = np.argsort(s)
+    return s[order], (len(s) - order).astype(np.int32)
+
+
+def rarest_first(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted shingles in the order of prefixes: common ones last, the commonest at the end."""
+    s, rank = common
+    if not len(s):
+        return h
+    at = np.minimum(np.searchsorted(s, h), len(s) - 1)
+    late = np.where(s[at] == h, rank[at], 0)
+    return h[np.argsort(late, kind="stable")]
+
+
+def text_nodes(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2) of all documents, and a node for each distinct text.
+
+    Nodes are (node, h1, h2, least, n, fp, counts, prefix): the smallest doc_id that
+    has the text, its number of shingles, its fingerprint (null without words), its
+    shingles by bucket, and the first of them, the rarest first. Two texts
+    with at least `least` similarity share `least` of either's shingles, so the
+    first one that they share is among the first n - ceil(least * n) + 1 of both.
     """
+    common = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in batches:
-            fps = []
+            fps, sizes, firsts, counts = [], [], [], []
             for t in b.column("text"):
-                words = set((t.as_py() or "").encode("utf-8").lower().split())
-                fps.append(word_fingerprint(words) if words else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
+                w = known.of(t.as_py())
+                h = rarest_first(shingles(w, words), common)
+                sizes.append(len(h))
+                firsts.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
+                fps.append(word_fingerprint(w) if len(w) else None)
+                counts.append(bucket_counts(h))
+            more = [pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), *more], ["doc_id", "h1", "h2", "n", "fp", "prefix", "counts"])
+
+    each = written(keyed(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, n int, fp binary, prefix array<long>, counts binary"), "text-features")
+    nodes = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "counts")])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+    rows = written_slim(each.select("doc_id", "h1", "h2"), "text-rows")
+    forget(each)
+    return rows, nodes
+
+
+# -- exact comparison ------------------------------------------------------------
+
+
+def bucket_counts(h: np.ndarray) -> bytes | None:
+    """How many shingles fall in each of some buckets, a byte each; null if a byte is too small.
+
+    Buckets are a power of two, with two to four shingles each; they go by the low
+    bits, so that adding the halves up gives the counts of half as many.
+    """
+    buckets = 1 << max(5, len(h).bit_length() - 2)
+    out = np.bincount(h & (buckets - 1), minlength=buckets)
+    return out.astype(np.uint8).tobytes() if out.max(initial=0) < 256 else None
+
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
-    rows = written(slim.mapInArrow(run, "doc_id long, node long, fp binary"), "text-fingerprints")
-    return written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "text-nodes")
+def may_be_similar(n: np.ndarray, component: np.ndarray, counts: list[bytes | None], least: float) -> np.ndarray:
+    """Which texts may have at least `least` similarity with one of another component.
+
+    Two texts share at most the smaller of their counts in each bucket, summed up.
+    """
+    out = np.zeros(len(n), bool)
+    i, j = np.triu_indices(len(n), 1)
+    ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+    i, j = i[ok], j[ok]
+    buckets = np.array([len(c or b"") for c in counts])
+    fewest = np.minimum(buckets[i], buckets[j])
+    out[i[fewest == 0]] = out[j[fewest == 0]] = True  # without counts all is possible
+    for b in np.unique(fewest[fewest > 0]).tolist():
+        some = np.flatnonzero(buckets >= b)
+        at = np.zeros(len(n), np.int64)
+        at[some] = np.arange(len(some))
+        # Counts of more buckets are added up; sums stay below 2^16.
+        folded = np.stack([np.frombuffer(counts[k], np.uint8).reshape(-1, b).sum(axis=0, dtype=np.uint16) for k in some])
+        x, y = i[fewest == b], j[fewest == b]
+        step = max(1, (1 << 22) // b)
+        for k in range(0, len(x), step):
+            u, v = x[k : k + step], y[k : k + step]
+            o = np.minimum(folded[at[u]], folded[at[v]]).sum(axis=1, dtype=np.int64)
+            near = o >= least * (n[u] + n[v] - o) - 1e-9
+            out[u[near]] = out[v[near]] = True
+    return out
+
+
+def open_work(nodes: DataFrame, work: DataFrame, least: float) -> DataFrame:
+    """The rows of work (unit, node, component) whose text may be similar to another's in its unit."""
+    full = work.join(nodes.select("node", "n", "counts"), "node").select("unit", "node", "component", "n", "counts")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> list[tuple]:
+            unit, node, component, n, counts = zip(*held, strict=True)
+            stays = may_be_similar(np.array(n), np.array(component), list(counts), least)
+            return [(unit[k], node[k], component[k]) for k in np.flatnonzero(stays)]
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["unit", "node", "component"])
+
+        for b in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and row[0] != held[0][0]:
+                    out += close()
+                    held = []
+                held.append(row)
+            if out:
+                yield rows(out)
+        if held and (out := close()):
+            yield rows(out)
+
+    return full.repartition(parts, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "unit long, node long, component long")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(i, j): how many shingles two sets share."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    found, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(at, minlength=len(found)) > 1
+    place = np.cumsum(often) - 1
+    row, at = row[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    cuts = np.searchsorted(at, np.arange(0, (at[-1] + 1 if len(at) else 0) + COUNT, COUNT))
+    for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if y > x:
+            some = np.zeros((len(sets), min(COUNT, at[-1] + 1)), np.float32)
+            some[row[x:y], at[x:y] - k * COUNT] = 1
+            out += some @ some.T
+    return out
+
+
+def similar(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): links that span what is similar between components, the most similar first."""
+    _, group = np.unique(component, return_inverse=True)
+    n = np.array([len(s) for s in sets], dtype=np.float64)
+    i, j = np.triu_indices(len(sets), 1)
+    apart = group[i] != group[j]
+    i, j = i[apart], j[apart]
+    if len(i) <= 3:
+        o = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.float64)
+    else:
+        o = overlaps(sets)[i, j].astype(np.float64)  # counts below 2^24 are exact in 32 bits
+    ok = o >= least * (n[i] + n[j] - o) - 1e-9
+    i, j, o = i[ok], j[ok], o[ok]
+    k = nearest_forest(len(sets), group[i], group[j], -o / (n[i] + n[j]))
+    return node[i[k]], node[j[k]]
+
+
+def unit_links(docs: DataFrame, nodes: DataFrame, work: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v): links of at least `least` Jaccard similarity between the components in each unit.
+
+    work: (unit, node, component), units of bounded size. Texts that counts by bucket
+    rule out go no further. The others are read once, from the document that stands
+    for them, and their shingles go to their units alone; there all pairs are
+    compared, and the links that span the similar ones are returned.
+    """
+    work = written_slim(open_work(nodes, work, least), "open-work")
+    wanted = work.groupBy("node", "component").agg(F.collect_list("unit").alias("units"))
+    wanted = wanted.join(nodes.select("node", "h1", "h2", "least"), "node")
+    wanted = written_slim(wanted.select("node", "component", "units", *[F.col(c).alias(f"_{c}") for c in ("h1", "h2", "least")]), "wanted-texts")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    texts = keyed(docs).join(bounded(wanted), same).select("node", "component", "units", "text")
+    kinds = pa.list_(pa.int64())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            out, held = [], 0
+            for node, component, units, t in zip(*b.columns, strict=True):
+                s = shingles(known.of(t.as_py()), words)
+                for unit in units.as_py():
+                    out.append((unit, node.as_py(), component.as_py(), s))
+                    held += len(s)
+                    if held > 4 * BLOCK_SHINGLES:
+                        yield rows(out)
+                        out, held = [], 0
+            if out:
+                yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        unit, node, component, sets = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(node, pa.int64()), pa.array(component, pa.int64()), pa.array(sets, kinds)], ["unit", "node", "component", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+
+        def close() -> tuple[np.ndarray, np.ndarray]:
+            node = np.array(list(held))  # a repeated row gives its text again; it counts once
+            return similar(node, np.array([c for c, _ in held.values()]), [s for _, s in held.values()], least)
+
+        for b in batches:
+            found = []
+            for unit, node, component, s in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3), strict=True):
+                if unit != last:
+                    if len(held) > 1:
+                        found.append(close())
+                    last, held = unit, {}
+                held[node] = component, s.values.to_numpy()
+            if found:
+                u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in close()], ["u", "v"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = texts.mapInArrow(spread, "unit long, node long, component long, shingles array<long>")
+    sets = sets.repartition(parts, "unit").sortWithinPartitions("unit", "node")
+    links = written_slim(sets.mapInArrow(compare, "u long, v long").distinct(), "unit-links")
+    forget(wanted)
+    forget(work)
+    return links
+
+
+# -- the Gray-order index --------------------------------------------------------
 
 
 def chosen_bits(table: int) -> np.ndarray:
@@ -117,18 +390,16 @@ def nearest_forest(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.
     return order[np.concatenate(kept)] if kept else np.empty(0, np.int64)
 
 
-def _compare(near_code: int, near_all: int, forests: int):
-    """(w, u, v): for each row's tiles, links that span all candidates within them, nearest first.
+def _compare(near_code: int, near_all: int):
+    """(unit, node, component): texts to compare, along links that span the candidates within each row's tiles, nearest first.
 
-    A pair that met in an earlier table is left to that one. Rows may say what is known: `known` groups (node, component), and `bad` pairs
-    that were looked at and aren't similar. Links within a group and bad pairs are
-    left out, and `forests` spanning forests are taken of what is left, one after the
-    other, or all of it if `forests` is 0.
+    A pair that met in an earlier table is left to that one. A unit is some of the
+    links of one tree; every text is a component of its own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for w, t, x, y, known, bad in zip(batch["w"], batch["rotation"], batch["codes"], batch["codes2"], batch["known"], batch["bad"], strict=True):
+            for t, x, y in zip(batch["rotation"], batch["codes"], batch["codes2"], strict=True):
                 a = np.frombuffer(x, ROW)
                 if y is None:
                     both, shift = a, 0
@@ -138,7 +409,6 @@ def _compare(near_code: int, near_all: int, forests: int):
                     b = np.frombuffer(y, ROW)
                     both, shift = np.concatenate([a, b]), len(a)
                     pairs = pairs_within(GrayIndex(np.ascontiguousarray(a["code"])), GrayIndex(np.ascontiguousarray(b["code"])), near_code, False)
-                n = len(both)
                 found = []
                 for i, j in pairs:
                     j = j + shift
@@ -153,206 +423,189 @@ def _compare(near_code: int, near_all: int, forests: int):
                         apart = code[i] ^ code[j]
                         new = (apart >> np.uint64(64 - LEAD) != 0) | (np.bitwise_count(apart) > near_code)
                         i, j, far = i[new], j[new], far[new]
-                group = np.arange(n)
-                if known is not None:
-                    at = {v: k for k, v in enumerate(both["node"].tolist())}
-                    first: dict[int, int] = {}
-                    for p in known:
-                        group[at[p["node"]]] = first.setdefault(p["component"], at[p["node"]])
-                    off = np.array([at[p["u"]] * n + at[p["v"]] for p in bad] + [at[p["v"]] * n + at[p["u"]] for p in bad], dtype=np.int64)
-                    left = (group[i] != group[j]) & ~np.isin(i * n + j, off)
-                    i, j, far = i[left], j[left], far[left]
-                for _ in range(forests or 1):
-                    k = nearest_forest(n, group[i], group[j], far) if forests else np.arange(len(i))
-                    if not len(k):
-                        break
-                    yield pd.DataFrame({"w": w, "u": both["node"][i[k]], "v": both["node"][j[k]]})
-                    left = np.ones(len(i), dtype=bool)
-                    left[k] = False
-                    i, j, far = i[left], j[left], far[left]
+                k = nearest_forest(len(both), i, j, far)
+                if len(k):
+                    i, j = i[k], j[k]
+                    tree = forest_from(np.arange(len(both)), i, j)[i]
+                    order = np.lexsort((j, i, tree))
+                    i, j, tree = i[order], j[order], tree[order]
+                    at = np.arange(len(tree)) - np.searchsorted(tree, tree)
+                    # The tree's first text, the table and the piece name the unit.
+                    unit = both["node"][tree].view(np.uint64) * np.uint64(1 << 20) + (at // (BLOCK_TEXTS // 2) * TABLES + t).astype(np.uint64)
+                    unit = np.concatenate([mixed(unit), mixed(unit)]).view(np.int64)
+                    node = both["node"][np.concatenate([i, j])]
+                    yield pd.DataFrame({"unit": unit, "node": node, "component": node}).drop_duplicates()
 
     return run
 
 
-def text_tiles(nodes: DataFrame) -> DataFrame:
+def index_candidates(nodes: DataFrame) -> DataFrame:
+    """(unit, node, component): texts with near fingerprints, to be compared."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = nodes.where("fp IS NOT NULL").select("node", "fp").mapInPandas(_file(TABLES), "rotation int, rank long, code long, node long, fp binary")
     filed = filed.repartitionByRange(parts, "rotation", "rank", "node").sortWithinPartitions("rotation", "rank", "node")
-    return written(filed.select("rotation", "code", "node", "fp").mapInPandas(_tiles([LEAD] * TABLES, ROW), TILE_SCHEMA), "text-tiles")
-
+    tiles = written(filed.select("rotation", "code", "node", "fp").mapInPandas(_tiles([LEAD] * TABLES, ROW), TILE_SCHEMA), "text-tiles")
+    found = tile_pairs(tiles, NEAR_CODE, parts).mapInPandas(_compare(NEAR_CODE, NEAR_ALL), "unit long, node long, component long")
+    found = written_slim(found, "index-candidates")
+    forget(tiles)
+    return found
 
-def shingle_hashes(text: str | None, words: int) -> set[int]:
-    """Distinct 64-bit hashes of a text's word shingles; A-Z count as a-z."""
-    w = (text or "").encode("utf-8").lower().split()
-    n = max(1, len(w) - words + 1) if w else 0
-    return {xxhash.xxh64_intdigest(b" ".join(w[k : k + words])) - (1 << 63) for k in range(n)}
 
+# -- the exact prefix filter -----------------------------------------------------
 
-def shingle_set(words: int):
-    """Shingle hashes, sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [sorted(shingle_hashes(t.as_py(), words)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return run
 
+def shared_prefixes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(s, node, n, component, at, m): prefix shingles that texts of more than one component have; m texts have s.
 
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """The commonest shingles of a sample of the texts, sorted."""
-    some = docs.select(F.xxhash64("text").alias("node"), "text").where(F.pmod(F.xxhash64(F.lit("common"), "node"), F.lit(COMMON_OF)) == 0)
-    each = some.mapInArrow(shingle_set(words), "node long, shingles array<long>").select(F.explode("shingles").alias("s"))
-    most = each.groupBy("s").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "s").limit(COMMON_MOST)
-    return np.sort(np.array([r.s for r in most.select("s").collect()], dtype=np.int64))
-
-
-def _prefixes(words: int, least: float, common: np.ndarray):
-    """(doc_id, node, n, prefix): the first of a text's n shingles, common ones ordered last and others by hash.
-
-    Two texts with at least `least` similarity share `least` of either's shingles, so
-    the first one they share, in an order that holds for all texts, is among the
-    first n - ceil(least * n) + 1 of both.
+    nodes: (node, n, prefix); groups: (node, component) of those that have links.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, firsts = [], []
-            for t in b.column("text"):
-                found = shingle_hashes(t.as_py(), words)
-                h = np.sort(np.fromiter(found, np.int64, len(found)))
-                late = np.isin(h, common)
-                sizes.append(len(h))
-                firsts.append(np.concatenate([h[~late], h[late]])[: len(h) - math.ceil(least * len(h) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
-            )
-
-    return run
+    nodes = _grouped(nodes.select("node", "n", "prefix"), groups)
+    spread = nodes.select("node", "component", F.posexplode("prefix").alias("at", "s"))
+    shared = spread.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("s")
+    hits = written_slim(spread.select("s", "node", "at").join(shared, "s"), "shared-shingles")
+    often = hits.groupBy("s").agg(F.count("*").alias("m"))
+    out = hits.join(often, "s").join(nodes.select("node", "n", "component"), "node")
+    out = written_slim(out.select("s", "node", "n", "component", "at", "m"), "prefix-hits")
+    forget(hits)
+    return out
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v): all pairs of different groups that may have at least `least` similarity.
+def light_work(hits: DataFrame, least: float) -> DataFrame:
+    """(unit, node, component): pairs of two components that share only shingles of few texts and may be similar enough.
 
-    groups: (node, component); other texts are groups of their own. Pairs share a
-    shingle of both prefixes, and enough of them for what lies behind the prefixes
-    to make up the rest; no pair that is similar enough is left out.
+    They share enough of their prefixes for what lies behind these to make up the
+    rest. A unit is a text with some of its partners.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
-    first = slim.mapInArrow(_prefixes(words, least, common_shingles(docs, words)), "doc_id long, node long, n int, prefix array<long>").where("n > 0")
-    mark = nodes.select("node", "least").join(groups, "node", "left").select(F.col("node").alias("_node"), F.col("least").alias("_least"), F.coalesce("component", "node").alias("component"))
-    first = first.join(mark, F.col("node").eqNullSafe(F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")))
-    first = written(first.select("node", "n", "component", "prefix"), "prefixes")
-    spread = first.select("node", "n", "component", F.posexplode("prefix").alias("at", "s"))
-    shared = spread.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("s")
-    spread = written_slim(spread.join(shared, "s", "left_semi").dropDuplicates(["s", "node"]), "shared-shingles")
-    forget(first)
-    u = spread.select("s", *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "component", "at")])
-    v = spread.select("s", *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "component", "at")])
+    few = hits.where(F.col("m") <= LIGHT)
+    u, v = (few.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "at")]) for x in "uv")
     met = u.join(v, "s").where(f"node_u < node_v AND component_u <> component_v AND least(n_u, n_v) >= {least} * greatest(n_u, n_v) - 1e-9")
-    met = met.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(
-        F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"), F.count("*").alias("o"), F.max(F.expr("least(n_u - at_u, n_v - at_v)")).alias("most")
+    met = met.groupBy("node_u", "node_v").agg(
+        *[F.first(c).alias(c) for c in ("n_u", "n_v", "component_u", "component_v")], F.count("*").alias("o"), F.max(F.expr("least(n_u - at_u, n_v - at_v)")).alias("most")
     )
     # All that two texts share comes at or behind the first that they share; and what isn't in both prefixes is behind the prefix that ends first.
     need = f"({least} * (n_u + n_v) / {1 + least} - 1e-6)"
     behind = f"ceil({least} * greatest(n_u, n_v) - 1e-9) - 1"
-    return met.where(f"most >= {need} AND o + {behind} >= {need}").select("u", "v")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v, ok): whether the links' texts have at least `least` Jaccard similarity.
-
-    Only texts that have a link are shingled, once each.
+    met = written_slim(met.where(f"most >= {need} AND o + {behind} >= {need}").select("node_u", "node_v", "component_u", "component_v"), "light-pairs")
+    # Partners enough for more than one unit are dealt out by hash.
+    often = met.groupBy("node_u").agg(F.count("*").alias("_n"))
+    met = met.join(often, "node_u").withColumn("unit", F.xxhash64("node_u", F.expr(f"pmod(xxhash64(node_v), 1 + _n div {BLOCK_TEXTS // 2})")))
+    return met.select("unit", F.col("node_u").alias("node"), F.col("component_u").alias("component")).union(met.select("unit", "node_v", "component_v")).distinct()
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, block): sorted texts (node, n) in blocks of bounded size."""
+    from pyspark import TaskContext
+
+    block, texts, size = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        out = []
+        for n in batch["n"]:
+            if texts and (texts >= BLOCK_TEXTS or size + n > BLOCK_SHINGLES):
+                block, texts, size = block + 1, 0, 0
+            texts, size = texts + 1, size + n
+            out.append(block)
+        yield pd.DataFrame({"node": batch["node"], "n": batch["n"], "component": batch["component"], "block": np.array(out, dtype=np.int64)})
+
+
+def block_work(hits: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(unit, node, component): the texts that each pair of blocks compares, and the tables that these come from.
+
+    Texts with shingles of many texts lie in one block with those that have the same
+    commonest shingle and about as many shingles. If s, at place `at`, is the first
+    shingle that a text of n shingles shares with a similar one, that one has at
+    least least * n and at most (n - at) * (1 + least) / least - n shingles; a text
+    meets a block only if some text there has s and a size in that range, and the
+    other way round. A unit whose texts are of one component has nothing to find.
     """
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    # One document stands for each distinct text.
-    ends = ends.join(nodes.select("node", "least"), "node").select(F.col("node").alias("_node"), F.col("least").alias("_least"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
-    texts = texts.join(ends, F.col("node").eqNullSafe(F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("node", "text")
-    sets = written(texts.mapInArrow(shingle_set(words), "node long, shingles array<long>"), "candidate-shingles").dropDuplicates(["node"])
-    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    pairs = pairs.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("o"))
-    return written_slim(pairs.select("u", "v", (F.col("o") >= least * (F.col("n") - F.col("o")) - 1e-9).alias("ok")), "verified-links")
-
-
-def near_links(docs: DataFrame, nodes: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """Verified links that span what all pairs with at least `least` similarity link.
-
-    The fingerprints' links come first; then every pair between the groups that these
-    make and that passes the prefix filter is verified.
-    """
-    done = fingerprint_links(docs, nodes, words, least)
-    links = done.where("ok").select("u", "v")
-    new = prefix_pairs(docs, nodes, components(links), words, least)
-    new = written_slim(new.join(done.select("u", "v"), ["u", "v"], "left_anti"), "prefix-links")
-    return links.unionByName(verified(docs, nodes, new, words, least).where("ok").select("u", "v"))
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = hits.where(F.col("m") > LIGHT)
+    texts = many.groupBy("node", "n", "component").agg(F.max(F.struct("m", "s")).alias("lead"))
+    texts = texts.select("node", "n", "component", F.col("lead.m").alias("m"), F.col("lead.s").alias("s"))
+    order = ["m", "s", "n", "node"]
+    texts = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "n", "component")
+    texts = written(texts.mapInPandas(_blocks, "node long, n int, component long, block long"), "blocks")
+    at = many.select("s", "node", "n", "component", F.expr(f"{least} * n - 1e-6").alias("lo"), F.expr(f"(n - at) * {(1 + least) / least!r} - n + 1e-6").alias("hi"))
+    at = written_slim(at.join(texts.select("node", "block"), "node"), "block-shingles")
+    others = at.groupBy("s", F.col("block").alias("other")).agg(
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("lo").alias("lo0"), F.max("hi").alias("hi1"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    met = at.join(others, "s").where("n0 <= hi AND n1 >= lo AND n >= lo0 AND n <= hi1 AND (c0 <> component OR c1 <> component)")
+    met = met.select("node", "component", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct()
+    met = written_slim(met, "block-meetings")
+    open_ = met.groupBy("a", "b").agg(*[f(c).alias(f"{c}{k}") for c in ("block", "component") for k, f in enumerate((F.min, F.max))])
+    open_ = open_.where("component0 < component1 AND (a = b OR block0 < block1)").select("a", "b")
+    work = met.join(open_, ["a", "b"])
+    return work.select(F.xxhash64(F.lit("blocks"), "a", "b").alias("unit"), "node", "component"), [texts, at, met]
 
 
-def fingerprint_links(docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v, ok): verified links that span what the fingerprints' candidates link.
+# -- groups ----------------------------------------------------------------------
 
-    The first round verifies the links of a spanning forest of each pair of tiles.
-    Where some fail, the second takes further forests of the candidates that are left
-    between the groups that the verified links make, and the third takes all. So
-    every candidate is verified or lies in one group, and groups of many near copies
-    cost a few links a text.
-    """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Written, as every round reads it again.
-    work = written(tile_pairs(text_tiles(nodes), NEAR_CODE, parts).withColumn("w", F.xxhash64("codes", "codes2")), "tile-pairs")
-    known = "array<struct<node:bigint,component:bigint>>"
-    todo = work.withColumn("known", F.lit(None).cast(known)).withColumn("bad", F.lit(None).cast("array<struct<u:bigint,v:bigint>>"))
-    emitted = done = None
-    forests = 1
-    while True:
-        found = todo.select("w", "rotation", "codes", "codes2", "known", "bad").mapInPandas(_compare(NEAR_CODE, NEAR_ALL, forests), "w long, u long, v long")
-        found = written_slim(found.select("w", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "candidate-links")
-        new = found.select("u", "v").distinct()
-        new = new if done is None else new.join(done, ["u", "v"], "left_anti")
-        now = verified(docs, nodes, new, words, least)
-        done = now if done is None else done.unionByName(now)
-        bad = done.where("NOT ok").select("u", "v")
-        again = written_slim(found.join(bad, ["u", "v"], "left_semi").select("w").distinct(), "open-tiles")
-        emitted = found if emitted is None else emitted.unionByName(found)
-        if not forests or again.isEmpty():
-            forget(work)
-            return done
-        groups = components(done.where("ok").select("u", "v"))
-        mine = emitted.join(again, "w")
-        ends = mine.select("w", F.col("u").alias("node")).union(mine.select("w", "v")).distinct()
-        ends = ends.join(groups, "node").groupBy("w").agg(F.collect_list(F.struct("node", "component")).alias("known"))
-        off = mine.join(bad, ["u", "v"]).groupBy("w").agg(F.collect_list(F.struct("u", "v")).alias("bad"))
-        todo = work.join(off, "w").join(ends, "w", "left").withColumn("known", F.coalesce("known", F.array().cast(known)))
-        todo = todo.repartition(parts, "w")
-        forests = MORE_FORESTS if forests == 1 else 0
-
-
-def near_duplicate_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, component, keep_id, texts_least): every distinct text's group and the document that stands for it.
+
+def near_duplicate_texts(docs: DataFrame, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2), and every distinct text's group: (node, h1, h2, least, component).
 
     docs: doc_id, text; other columns are ignored. Equal texts are one node (null
     is a text of its own; texts without words are equal only to themselves). A group
-    is all texts that verified links connect; keep_id is its smallest doc_id, null if
-    it has none. No rows give no rows.
+    is all texts that links of at least `least` similarity connect; `least` of a row
+    is the smallest doc_id that has its text, null if it has none. No rows give no rows.
     """
-    nodes = text_nodes(docs)
-    groups = components(written_slim(near_links(docs, nodes, words, least), "near-links"))
-    nodes = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = nodes.groupBy("component").agg(F.min("least").alias("keep_id"))
-    return nodes.join(keep, "component").select("node", "component", "keep_id", "least")
+    rows, nodes = text_nodes(docs, words, least)
+    work = index_candidates(nodes)
+    links = unit_links(docs, nodes, work, words, least)
+    groups = written_slim(components(links), "text-groups")
+    forget(work)
+    forget(links)
+    release(docs.sparkSession)
+
+    hits = shared_prefixes(nodes.where("n > 0"), groups)
+    work, tables = block_work(hits, least)
+    work = written_slim(light_work(hits, least).unionByName(work), "prefix-work")
+    release(docs.sparkSession)
+    links = unit_links(docs, nodes, work, words, least)
+    for t in (hits, *tables, work):
+        forget(t)
+
+    # The groups that the links connect are one.
+    end = _grouped(nodes.select("node"), groups)
+    wider = links.join(end.toDF("u", "cu"), "u").join(end.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    wider = components(wider).toDF("_c", "_wider")
+    out = _grouped(nodes.select("node", "h1", "h2", "least"), groups).join(wider, F.col("component") == F.col("_c"), "left")
+    out = written_slim(out.select("node", "h1", "h2", "least", F.coalesce("_wider", "component").alias("component")), "near-groups")
+    for t in (nodes, groups, links):
+        forget(t)
+    return rows, out
+
+
+def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The nodes with their component; a node without links is its own."""
+    return nodes.join(bounded(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates, the one with the smallest id.
 
     Rows with that id and the same text repeat one another; one of them stays. In a
-    group without any id one row stays.
+    group without any id one row stays. Texts of one id in one group keep the text
+    with the smallest node. Only the rows that go are joined with the documents.
     """
-    groups = near_duplicate_texts(docs, words, least)
-    # The node that holds the kept id stands for its group.
-    ours = groups.where("keep_id <=> least").groupBy("component").agg(F.min("node").alias("_node"), F.first("keep_id").alias("_id"))
+    rows, groups = near_duplicate_texts(docs, words, least)
+    key = ["doc_id", "h1", "h2"]
+    # The smallest id, then the smallest node; ids come before null.
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best"))
+    stays = groups.join(best.select(F.col("best.node").alias("node")), "node", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("least", "h1", "h2")])
+    same = F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    every = rows.groupBy(*key).agg(F.count("*").alias("copies"))
+    marked = every.join(stays, same, "left").select(*key, "copies", F.col("_h1").isNotNull().alias("stays"))
+    marked = written(marked.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2"), "stays"), "near-duplicates")
+    forget(rows)
+    forget(groups)
+
     columns = document_columns(docs)
-    rows = docs.select(*columns, F.xxhash64("text").alias("_h"))
-    same = (F.col("_h") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = rows.join(ours.select("_node", "_id"), same).drop("_node", "_id")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*columns)
+    whole = docs.select(*columns, F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    out = whole.join(bounded(marked), same, "left_anti")
+    repeated = marked.where("stays")
+    if not repeated.isEmpty():
+        again = whole.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+        out = out.unionByName(again)
+    return out.select(*columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, document_columns, table, written
+from .common import components, forest, forget, table, written, written_slim
 
 #: Fingerprints in a tile, fan-out of the index nodes, and node or fingerprint pairs compared at once.
 TILE, FANOUT, AT_ONCE = 1024, 8, 1 << 18
@@ -148,31 +148,6 @@ def pairs_within(a: GrayIndex, b: GrayIndex, radius: int, same: bool) -> Iterato
                 stack.append((level - 1, ci[near], cj[near], both[near], c[near]))
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least node that each of n nodes reaches over the pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
-        root = forest_from(root, i, j)
-    return root
-
-
-def forest_from(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Roots after the pairs (i, j) are linked, too."""
-    while True:
-        ri, rj = root[i], root[j]
-        off = ri != rj
-        if not off.any():
-            return root
-        i, j = i[off], j[off]
-        root = root.copy()
-        np.minimum.at(root, np.maximum(ri[off], rj[off]), np.minimum(ri[off], rj[off]))
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-
-
 # -- tiles ---------------------------------------------------------------------
 
 TILE_SCHEMA = "rotation int, block long, tile string, mask long, pattern long, codes binary"
@@ -338,7 +313,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     tiles = written(filed.select("rotation", "code").mapInPandas(_tiles(width), TILE_SCHEMA), "gray-tiles")
     back = [(64 - o) % 64 for o in offset]
     work = tile_pairs(tiles, radius, parts)
-    return work.mapInPandas(_compare(radius, back), "u long, v long")
+    found = written_slim(work.mapInPandas(_compare(radius, back), "u long, v long"), "gray-links")
+    forget(tiles)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
