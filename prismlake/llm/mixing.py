@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a hash of its id. A source's budget is met by the documents
+Every document has a hash of its id and text. A source's budget is met by the documents
 below a hash threshold, so a selection is a filter and never a sort. The
 threshold comes from histograms: words are summed by source and hash bucket, the
 running sum names the bucket in which the budget ends, and only that boundary
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, document_columns, table, written
+from .common import WORD, bounded, document_columns, forget, ordered, table, written, written_slim
 
 #: Hash bits that each histogram resolves, and of all hash bits (15 hex digits).
 LEVEL_BITS, HASH_BITS = 12, 60
@@ -25,9 +25,11 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.expr(rf"regexp_count({text}, '{WORD}')".replace("\\", "\\\\")), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: str) -> F.Column:
-    """60 bits of the id's MD5; a null id hashes like the text 'null'."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: str, text: str) -> F.Column:
+    """60 bits of the MD5 of the id and the text's MD5; nulls hash like the text 'null'."""
+    null = F.lit("null")
+    both = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), null), F.coalesce(F.md5(F.encode(text, "UTF-8")), null))
+    return F.conv(F.substring(F.md5(F.encode(both, "UTF-8")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -37,20 +39,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     by code point, null last. All targets sum to `share` times all sizes unless
     every source is at its cap. A source is at its cap when cap / weight is at
     most the common level; in the order of cap / weight the sources at their cap
-    come first, so the level follows from running sums over that order. The
-    windows below run over one row per source, not over documents.
+    come first, so the level follows from running sums over that order. Sources
+    are put in order by ranges, so no task holds them all, however many there are.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("i") - 1) % len(weights) + 1).cast("int"))
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    t = sizes.withColumn("i", F.row_number().over(by_name)).withColumn("w", weight).withColumn("cap", F.col("source_size") * most)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), "i")
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    all_rows = Window.partitionBy()
-    t = t.withColumn("budget", F.sum("source_size").over(all_rows) * share)
-    t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    named, offsets = ordered(sizes.withColumn("none", F.col("source").isNull()), ["none", F.encode("source", "UTF-8")], "mix-sources", "source_size")
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_n0")
+    t = named.join(F.broadcast(offsets), "_part").select("source", "source_size", place.alias("i"), (F.col("_source_size") * share).alias("budget"))
+    t = t.withColumn("w", weight).withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("w"))
+    t, offsets = ordered(t, ["ratio", "i"], "mix-ratios", "cap", "w")
+    run = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumns({"caps": F.sum("cap").over(run) - F.col("cap"), "ws": F.sum("w").over(run) - F.col("w")}).join(F.broadcast(offsets), "_part")
+    t = t.withColumn("level", (F.col("budget") - F.col("_cap0") - F.col("caps")) / (F.col("_w") - F.col("_w0") - F.col("ws")))
     # From the first source below its cap on, the levels fall: the first is the largest.
-    t = t.withColumn("level", F.max(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level"))).over(all_rows))
-    target = F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("w")), F.col("cap")).otherwise(F.col("level") * F.col("w"))
+    level = t.agg(F.max(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level")))).first()[0]
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("w"))
     return t.select("source", "source_size", target.alias("target"))
 
 
@@ -109,13 +112,16 @@ def _same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
 
 
 def mix_plan(slim: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
-    """(source, source_size, target, times, threshold) for (source, size, hash) rows."""
+    """(source, source_size, target, times, threshold) for (source, size, hash) rows, written."""
     plan = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("times", full.cast("long"))
     plan = written(plan.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")), "mix-plan")
     cut = thresholds(slim, plan.select("source", F.lit(0).alias("budget_id"), F.col("rest").alias("budget")))
-    return _same(plan, written(cut, "mix-cut").drop("budget_id"), ["source"], "left").drop("rest")
+    # One small table, so that joins know its size.
+    out = written_slim(_same(plan, cut.drop("budget_id"), ["source"], "left").drop("rest"), "mix-cut")
+    forget(plan)
+    return out
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -127,15 +133,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     documents below a hash threshold once more for the rest.
 
     Null or empty texts have size 0 and nothing is taken of them. Null sources
-    form a source of their own, the last. Rows with one id have one hash and are
-    taken or left together, as are all rows without an id. No documents give no
-    rows. Only (id hash, source, size) is written and read again, never texts.
+    form a source of their own, the last. The hash is that of id and text, so rows
+    that share an id or have none part by their texts; only rows that repeat one
+    another in both are taken or left together. No documents give no rows. Only
+    (hash, id, source, size) is written and read again, never texts.
     """
-    slim = docs.select("doc_id", "source", word_count("text").alias("size"), id_hash("doc_id").alias("hash"))
+    slim = docs.select("doc_id", "source", word_count("text").alias("size"), row_hash("doc_id", "text").alias("hash"))
     slim = written(slim, "mix-sizes")
     plan = mix_plan(slim, weights, share, most)
     extra = F.when(F.col("hash") < F.coalesce("threshold", F.lit(0)), 1).otherwise(0)
-    out = _same(slim, plan, ["source"], "left")
+    out = _same(slim, bounded(plan), ["source"], "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + extra)).alias("taken"))
 
 
@@ -146,14 +153,17 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(spark, docs: DataFrame, sf_dir: str, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Pipeline stage: the mix itself, documents repeated as often as they are taken.
 
-    Documents without words have nothing to repeat; they stay once.
+    Documents without words have nothing to repeat; they stay once. The plan has a
+    row a source, so documents aren't shuffled while the sources are few enough to
+    be broadcast.
     """
     columns = document_columns(docs)
-    keep = docs.select(*columns, word_count("text").alias("_size"), id_hash("doc_id").alias("_hash"))
+    keep = docs.select(*columns, word_count("text").alias("_size"), row_hash("doc_id", "text").alias("_hash"))
     slim = written(keep.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")), "mix-sizes")
     plan = mix_plan(slim, weights, share, most)
+    forget(slim)
     times = F.col("times") + F.when(F.col("_hash") < F.coalesce("threshold", F.lit(0)), 1).otherwise(0)
-    out = _same(keep, plan, ["source"], "left").withColumn("_n", F.when(F.col("_size") == 0, 1).otherwise(times).cast("int"))
+    out = _same(keep, bounded(plan), ["source"], "left").withColumn("_n", F.when(F.col("_size") == 0, 1).otherwise(times).cast("int"))
     return out.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_one")).drop("_one")
 
 
@@ -161,7 +171,7 @@ def mixed_documents(spark, docs: DataFrame, sf_dir: str, weights: Sequence[int]
 ORACLE_SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS hash
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM slim GROUP BY source),
 ranked AS (

@@ -73,7 +73,7 @@ def test_sql_agrees(spark):
 
 def test_budgets_nest(spark):
     docs = odd_documents(spark, 300)
-    slim = mixing.written(docs.select("source", mixing.word_count("text").alias("size"), mixing.id_hash("doc_id").alias("hash")), "t")
+    slim = mixing.written(docs.select("source", mixing.word_count("text").alias("size"), mixing.row_hash("doc_id", "text").alias("hash")), "t")
     total = slim.groupBy("source").sum("size").toDF("source", "n")
     budgets = total.selectExpr("source", "explode(array(1, 5, 9)) AS budget_id", "n").selectExpr("source", "budget_id", "n * budget_id / 10 AS budget")
     cut = {(r.source, r.budget_id): r.threshold for r in mixing.thresholds(slim, budgets, 4).collect()}
@@ -96,3 +96,15 @@ def test_mixed_documents_follow_taken(spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     times = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert times == {k: v for k, v in taken.items() if v}
+
+
+def test_rows_without_ids_part_by_their_texts(spark):
+    rows = [(None if k % 3 else 7, " ".join(f"w{k}" for _ in range(5)), "abcd"[k % 4]) for k in range(800)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.target, []).append(r)
+    target = filled({s: 1000 for s in "abcd"})
+    assert len(got) == 800 and sum(r.taken for r in got) == pytest.approx(sum(target.values()), abs=20)
+    for t, mine in by.items():
+        assert abs(sum(r.taken for r in mine) - t * len(mine) / 200) <= 5 * len(mine) / 200
