@@ -23,12 +23,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_columns, table, written
+from .common import bounded, document_columns, table, written, written_slim
 
 RADIUS, BLOCKS = 23, 8
-#: Rows of chosen shingles, and of the fingerprint index, that are broadcast at once.
-#: A larger benchmark is worked off in blocks of items.
-BROADCAST_ITEMS = 20_000
+#: Rows of chosen shingles that are broadcast at once; a larger benchmark is worked off in blocks of items.
+CHOSEN_ROWS = 200_000
 #: Tasks that prepare the benchmark.
 ITEM_TASKS = 8
 
@@ -95,7 +94,7 @@ def chosen_shingles(items: DataFrame, least: float) -> DataFrame:
 def windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, m, n, start, win): every m-word window that has a chosen shingle, once.
 
-    chosen is broadcast; its size is bounded by the caller. Documents of fewer than
+    chosen is broadcast; the caller bounds its rows by CHOSEN_ROWS. Documents of fewer than
     m words are one window. Only the words around a hit are shuffled. Windows are
     as many as the words of the passages that are found.
     """
@@ -127,12 +126,12 @@ def candidates(wins: DataFrame, items: DataFrame, radius: int, lanes: int) -> Da
     width, flips = 64 // BLOCKS, radius // BLOCKS
     index = items.select("item", "m", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
     index = index.select("item", "m", simhash("hashes", lanes).alias("fp"))
-    index = index.select("item", F.col("m").alias("m2"), F.col("fp").alias("fp2"), F.inline(block_values(radius)))
+    index = written(index.select("item", F.col("m").alias("m2"), F.col("fp").alias("fp2"), F.inline(block_values(radius))).coalesce(ITEM_TASKS), "benchmark-index")
     wins = wins.withColumn("hashes", F.expr("transform(win, w -> xxhash64(w))")).withColumn("fp", simhash("hashes", lanes)).drop("hashes")
     # A window looks up its own block values; flips were filed by the index.
     own = F.expr("array(" + ", ".join(f"struct({b} AS b, cast(shiftright(fp, {b * width}) & {(1 << width) - 1} AS int) AS v)" for b in range(BLOCKS)) + ")")
     wins = wins.select("*", F.inline(own))
-    met = wins.join(F.broadcast(index), (F.col("m") == F.col("m2")) & (F.col("b") == F.col("block")) & (F.col("v") == F.col("value")))
+    met = wins.join(bounded(index), (F.col("m") == F.col("m2")) & (F.col("b") == F.col("block")) & (F.col("v") == F.col("value")))
     # The first block that agrees reports the pair.
     earlier = " + ".join(f"if({b} < b AND bit_count(shiftright(fp ^ fp2, {b * width}) & {(1 << width) - 1}) <= {flips}, 1, 0)" for b in range(BLOCKS - 1))
     met = met.withColumn("hamming", F.expr("bit_count(fp ^ fp2)").cast("int")).where(f"hamming <= {radius} AND {earlier} = 0")
@@ -152,8 +151,10 @@ def verified(met: DataFrame, items: DataFrame, least: float) -> DataFrame:
     The similarity is the sum of the smaller over the sum of the larger weights.
     """
     mine = items.select("item", F.size("shingles").alias("ki"), F.expr(labelled("shingles")).alias("theirs"))
+    if items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] <= CHOSEN_ROWS:
+        mine = F.broadcast(mine)
     each = met.withColumn("shingles", F.expr("transform(sequence(0, size(win) - n), i -> array_join(slice(win, i + 1, n), ' '))")).drop("win")
-    each = each.join(F.broadcast(mine), "item")
+    each = each.join(mine, "item")
     # Generated, so that the overlap is worked out once and not again in the filter.
     both = F.struct(F.size(F.array_intersect(F.expr(labelled("shingles")), "theirs")).alias("o"), F.size("shingles").alias("kw"))
     each = each.select("doc_id", "h1", "h2", "m", "start", "item", "hamming", "ki", F.inline(F.array(both)))
@@ -173,13 +174,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, least:
     fewer words than an item are compared with it as a whole. Empty tables give no
     rows.
 
-    The benchmark is broadcast in blocks of at most BROADCAST_ITEMS items: the
-    documents are scanned once for each block, and no document is ever compared with
-    more than the items whose shingles it has.
+    The shingles that are looked for are broadcast in blocks of about CHOSEN_ROWS rows:
+    the documents are scanned once for each block. The index and the items' shingles
+    are broadcast only if they are counted to be few, and else shuffled to the
+    windows. No document is compared with more than the items whose shingles it has.
     """
     items = written(benchmark_items(benchmark, shingle).coalesce(ITEM_TASKS), "benchmark-items")
-    size = items.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
-    blocks = max(1, -(-size["n"] // BROADCAST_ITEMS))
+    shingles = F.size("shingles")
+    size = items.agg(F.sum(shingles - F.ceil(shingles * least - 1e-9) + 1).alias("n"), F.max("m").alias("m")).first()
+    blocks = max(1, -(-int(size["n"] or 0) // CHOSEN_ROWS))
     lanes = _lanes(max(size["m"] or 1, 1))
     out = None
     for k in range(blocks):
@@ -203,7 +206,7 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item, unchanged."""
-    found = written(contaminated(docs, benchmark).select("doc_id", "h1", "h2").distinct(), "contaminated")
+    found = written_slim(contaminated(docs, benchmark).select("doc_id", "h1", "h2").distinct(), "contaminated")
     found = found.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(1), "text") == F.col("_h2"))
-    return docs.select(*document_columns(docs)).join(found, same, "left_anti")
+    return docs.select(*document_columns(docs)).join(bounded(found), same, "left_anti")

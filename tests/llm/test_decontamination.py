@@ -56,9 +56,11 @@ def frames(spark, docs, items):
     return d, b
 
 
-@pytest.mark.parametrize("block", [20_000, 9])
+@pytest.mark.parametrize("block", [200_000, 90])
 def test_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BROADCAST_ITEMS", block)
+    monkeypatch.setattr(decontamination, "CHOSEN_ROWS", block)
+    if block == 90:  # nothing but the chosen shingles of a block is broadcast
+        monkeypatch.setattr(decontamination, "bounded", lambda df: df)
     docs, items = cases(spark)
     got = decontamination.contaminated(*frames(spark, docs, items)).collect()
     want = plain(docs, items)
