@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, table, written
+from .common import document_columns, forget, table, written
 
 #: The most labelled rows that a fit uses. More rows change little, and the bound
 #: keeps the counts and the calibration sample small.
@@ -226,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     x, y = _sample_evidence(sample, [Model(o, model.decay, model.log_k) for o in other])
     if len(y):
         model.weights = logistic(x, y)
+    forget(sample)
     return model
 
 
