@@ -35,7 +35,7 @@ _HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
 _ID = re.compile(r"""(?:access_?key_?id|client_?id|user_?name|user_?id|user|login|account)["']?\x20*[:=]\x20*["']?(?P<x>[A-Za-z0-9._@-]{3,})""", re.I | re.A)
 _SHORT = re.compile(r"""(?:password|passwd|pass|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<x>[A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.I | re.A)
 # A run may start behind "=", as values do; as padding it only ends one.
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?P<x>[A-Za-z0-9+/_-]{20,}={0,2})", re.A)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?P<x>[A-Za-z0-9+/_-]{20,}={0,2})", re.A)
 _ENDPOINT = re.compile(r"(?P<x>(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]+|(?<![\w.-])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?![\d.]))", re.I | re.A)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -81,48 +81,55 @@ def parts(text: str, found: list[Span]) -> dict[str, list[tuple[int, int, bool]]
     return out
 
 
-def near(a: tuple[int, int, bool], others: list[tuple[int, int, bool]], starts: list[int], reach: int, scopes: list[int]) -> int | None:
-    """Index of the nearest of `others` that meets `a`; by binary search, as others don't overlap."""
-    at = bisect_left(starts, a[0])
-    best = None
-    for k in (at - 1, at):
-        if 0 <= k < len(others):
-            b = others[k]
-            gap = max(b[0] - a[1], a[0] - b[1], 0)
-            same = bisect_right(scopes, a[0]) == bisect_right(scopes, b[0])
-            if same and gap <= reach and (best is None or gap < best[0]):
-                best = (gap, k)
-    return best and best[1]
+class Role:
+    """The parts of one role by their places; they don't overlap one another."""
+
+    def __init__(self, spans: list[tuple[int, int, bool]], scopes: list[int]):
+        self.spans, self.scopes = spans, scopes
+        self.starts, self.ends = [s[0] for s in spans], [s[1] for s in spans]
+
+    def near(self, a: tuple[int, int, bool], reach: int) -> tuple[int, int, bool] | None:
+        """The nearest part that meets `a` and doesn't overlap it: the last that ends before it or the first that starts behind it."""
+        best = None
+        for k in (bisect_right(self.ends, a[0]) - 1, bisect_left(self.starts, a[1])):
+            if 0 <= k < len(self.spans):
+                b = self.spans[k]
+                gap = max(b[0] - a[1], a[0] - b[1])
+                same = bisect_right(self.scopes, a[0]) == bisect_right(self.scopes, b[0])
+                if same and gap <= reach and (best is None or gap < best[0]):
+                    best = gap, b
+        return best and best[1]
 
 
 def linked(text: str, found: list[Span], reach: int = 200) -> tuple[list[Span], list[dict]]:
     """Weak parts that complementary parts complete, and the credentials they make up.
 
     A secret needs an identifier within reach and an identifier a secret; an
-    endpoint needs both. Each secret makes one credential, with the nearest
-    identifier and the nearest endpoint, so the links are as many as the secrets.
+    endpoint needs both. Parts that overlap don't complete each other, so a string
+    that could be either role needs another one beside it. Each secret makes one
+    credential, with the nearest identifier and the nearest endpoint, so the links
+    are as many as the secrets.
     """
     p = parts(text, found)
     if not p["id"] or not p["secret"]:
         return [], []
     scopes = [m.end() for m in _BLANK.finditer(text)]
-    starts = {role: [s[0] for s in spans] for role, spans in p.items()}
-    meet = lambda a, role: near(a, p[role], starts[role], reach, scopes)
+    role = {name: Role(spans, scopes) for name, spans in p.items()}
     out: list[Span] = []
     for s in p["id"]:
-        if s[2] and meet(s, "secret") is not None:
+        if s[2] and role["secret"].near(s, reach):
             out.append(("part_id", s[0], s[1]))
     links = []
     for s in p["secret"]:
-        i = meet(s, "id")
+        i = role["id"].near(s, reach)
         if i is None:
             continue
         if s[2]:
             out.append(("part_secret", s[0], s[1]))
-        e = meet(s, "endpoint")
-        links.append({"id": list(p["id"][i][:2]), "secret": list(s[:2]), "endpoint": None if e is None else list(p["endpoint"][e][:2])})
+        e = role["endpoint"].near(s, reach)
+        links.append({"id": list(i[:2]), "secret": list(s[:2]), "endpoint": e and list(e[:2])})
     for s in p["endpoint"]:
-        if meet(s, "id") is not None and meet(s, "secret") is not None:
+        if role["id"].near(s, reach) and role["secret"].near(s, reach):
             out.append(("part_endpoint", s[0], s[1]))
     return out, links
 
