@@ -1,26 +1,30 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The lines known so far are kept as runs: tables of line hashes, hash-bucketed and
-sorted within the buckets, each hash in one run only. A new batch of lines is
-merge-joined with the runs bucket by bucket, without a shuffle: hashes that no run
-has become a run of their own on level 0, the others go to the repeats with the
-number of documents they add. When a level has `fanout` runs they are compacted
-into one run of the next level, so a hash is rewritten a logarithmic number of
-times and a batch joins a logarithmic number of runs.
+sorted within the buckets, each hash in one run only. A new batch counts its own
+lines and is merge-anti-joined with the runs bucket by bucket, without a shuffle:
+hashes that no run has become a run of their own on level 0, the others a run of
+repeats, with the number of documents that they add. When a level has `fanout` runs
+they are merged into one run of the next level, so a hash is rewritten a
+logarithmic number of times and a batch joins a logarithmic number of runs. A
+manifest in the runs' folder lets a later session go on with them.
 
 Built from DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, delete, document_columns, new_path, table, written
+from .common import BROADCAST_ROWS, SPACES, ascii_lower, delete, document_columns, forget, new_path, table, written, written_slim
 
 KEY = ["k1", "k2"]
+#: Positions of dropped lines that a join may broadcast, besides BROADCAST_ROWS rows.
+BROADCAST_LINES = 2_000_000
 
 
 def key_hash(key: str) -> list[F.Column]:
@@ -29,76 +33,124 @@ def key_hash(key: str) -> list[F.Column]:
 
 
 class LineRuns:
-    """The runs and the repeats, in the shared folder.
+    """Runs of lines and of their repeats, in a folder that all executors share.
 
     A row is (k1, k2, docs): a line's hash and the number of documents that have it.
+    home: the folder, which stays; what it holds already is taken up, with its number
+    of buckets. Without one the runs are temporary and go with `close`. One writer
+    at a time: a batch is in the manifest when `add` has returned, and not before.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, home: str | None = None, fanout: int = 2):
+        self.spark, self.fanout, self.kept = spark, fanout, home is not None
+        self.home = home.rstrip("/") if home else new_path(spark, "line-runs")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = [[]]
-        self.repeats: str | None = None
-
-    def store(self, rows: DataFrame) -> str:
-        """Writes a sorted run; rows are hash-partitioned by the key as the buckets are."""
+        #: Runs and repeats by level: (table, path).
+        self.runs: list[list[tuple[str, str]]] = [[]]
+        self.repeats: list[list[tuple[str, str]]] = [[]]
+        if self.kept:
+            self._open()
+
+    def _file(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _open(self) -> None:
+        fs, path = self._file(f"{self.home}/manifest")
+        if not fs.exists(path):
+            return
+        said = json.loads(self.spark.read.text(f"{self.home}/manifest", wholetext=True).first()[0])
+        self.buckets = said["buckets"]
+        self.runs, self.repeats = ([[(self._registered(p), p) for p in level] for level in said[k]] for k in ("runs", "repeats"))
+
+    def _registered(self, path: str) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.option("path", new_path(self.spark, "line-run")).saveAsTable(name)
+        key = ", ".join(KEY)
+        self.spark.sql(f"CREATE TABLE {name} (k1 BIGINT, k2 BIGINT, docs BIGINT) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return name
 
-    def drop(self, name: str) -> None:
-        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"DROP TABLE {name}")
-        delete(self.spark, path)
+    def _save(self) -> None:
+        """Replaces the manifest in one step."""
+        said = {"buckets": self.buckets} | {k: [[p for _, p in level] for level in v] for k, v in (("runs", self.runs), ("repeats", self.repeats))}
+        fs, new = self._file(f"{self.home}/manifest.new")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+        _, path = self._file(f"{self.home}/manifest")
+        fs.delete(path, False)
+        fs.rename(new, path)
+
+    def store(self, rows: DataFrame) -> tuple[str, str]:
+        """Writes a sorted run of rows that are partitioned as the buckets are."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{self.home}/{name}"
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        return name, path
+
+    def drop(self, *tables: tuple[str, str]) -> None:
+        for name, path in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, path)
 
-    @property
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(t) for level in self.levels for t in level]
+    def read(self, run: tuple[str, str]) -> DataFrame:
+        return self.spark.table(run[0])
 
     def add(self, batch: DataFrame) -> None:
-        """Takes in a batch, with each hash in one row and its rows bucketed like the runs."""
-        fresh = batch
-        for run in self.runs:
-            fresh = fresh.join(run.hint("merge"), KEY, "left_anti")
-        name = self.store(fresh)
-        if self.runs:
-            again = batch.join(self.spark.table(name).hint("merge"), KEY, "left_anti")
-            before = self.repeats
-            if before:
-                both = again.unionByName(self.spark.table(before))
-                again = both.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
-            self.repeats = self.store(again)
-            if before:
-                self.drop(before)
-        self.levels[0].append(name)
-        self.compact()
-
-    def compact(self) -> None:
-        for k, level in enumerate(self.levels):
+        """Takes in a batch, (k1, k2, docs) with each hash in one row."""
+        old: list[tuple[str, str]] = []
+        came = self.store(batch.select(*KEY, "docs").repartition(self.buckets, *KEY))
+        known = [run for level in self.runs for run in level]
+        if known:
+            fresh = self.read(came)
+            for run in known:
+                fresh = fresh.join(self.read(run).hint("merge"), KEY, "left_anti")
+            new = self.store(fresh)
+            again = self.read(came).join(self.read(new).hint("merge"), KEY, "left_anti")
+            self.repeats[0].append(self.store(again))
+            old, came = [came], new
+        self.runs[0].append(came)
+        old += self._compact(self.runs) + self._compact(self.repeats)
+        if self.kept:
+            self._save()
+        self.drop(*old)
+
+    def _compact(self, levels: list[list[tuple[str, str]]]) -> list[tuple[str, str]]:
+        """Merges full levels, bucket by bucket; returns the runs that were merged."""
+        old: list[tuple[str, str]] = []
+        for k, level in enumerate(levels):
             if len(level) < self.fanout:
                 continue
-            merged = self.spark.table(level[0])
-            for t in level[1:]:
-                merged = merged.unionByName(self.spark.table(t))
-            name = self.store(merged.repartition(self.buckets, *KEY))
-            for t in level:
-                self.drop(t)
-            self.levels[k] = []
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(name)
+            merged = self.read(level[0])
+            for run in level[1:]:
+                both = merged.join(self.read(run).withColumnRenamed("docs", "more").hint("merge"), KEY, "full_outer")
+                merged = both.select(*KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+            name = self.store(merged)
+            old += level
+            levels[k] = []
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(name)
+        return old
 
     def frequent(self, least: int) -> DataFrame:
         """(k1, k2) of the lines that at least `least` documents have."""
-        more = self.spark.table(self.repeats).withColumnRenamed("docs", "more") if self.repeats else None
         out = None
-        for run in self.runs:
-            some = run.join(more.hint("merge"), KEY, "left").withColumn("docs", F.col("docs") + F.coalesce("more", F.lit(0))) if more is not None else run
+        for run in (r for level in self.runs for r in level):
+            some = self.read(run)
+            for more in (r for level in self.repeats for r in level):
+                some = some.join(self.read(more).withColumnRenamed("docs", "more").hint("merge"), KEY, "left")
+                some = some.select(*KEY, (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"))
             some = some.where(F.col("docs") >= least).select(*KEY)
             out = some if out is None else out.unionByName(some)
         return out
 
+    def close(self) -> None:
+        """Takes the tables out of the catalogue; temporary runs are deleted."""
+        for name, _ in (r for levels in (self.runs, self.repeats) for level in levels for r in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not self.kept:
+            delete(self.spark, self.home)
+
 
 def keys(text: str) -> F.Column:
     """Each line's key: A-Z lower-cased, whitespace stripped at both ends."""
@@ -106,20 +158,28 @@ def keys(text: str) -> F.Column:
     return F.transform(lines, lambda line: F.btrim(line, F.lit(SPACES)))
 
 
-def repeated_lines(docs: DataFrame, least: int = 10, shortest: int = 1, batches: int = 4) -> DataFrame:
-    """(k1, k2) of the line keys of at least `shortest` code points found in at least `least` rows of docs."""
-    batch = F.pmod(F.xxhash64("text", "doc_id"), F.lit(batches)).alias("batch")
-    found = docs.select(batch, F.explode(F.array_distinct(keys("text"))).alias("key")).where(F.length("key") >= shortest)
-    counts = found.select("batch", *key_hash("key")).groupBy(*KEY)
-    counts = counts.agg(*[F.count(F.when(F.col("batch") == b, 1)).alias(f"n{b}") for b in range(batches)])
-    runs = LineRuns(docs.sparkSession)
-    name = runs.store(counts)
+def counted_lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """(k1, k2, docs): how many rows of docs have each line key of at least `shortest` code points."""
+    found = docs.select(F.explode(F.array_distinct(keys("text"))).alias("key")).where(F.length("key") >= shortest)
+    return found.select(*key_hash("key")).groupBy(*KEY).agg(F.count("*").alias("docs"))
+
+
+def repeated_lines(docs: DataFrame, least: int = 10, shortest: int = 1, batches: int = 4, home: str | None = None) -> DataFrame:
+    """(k1, k2) of the line keys found in at least `least` rows of docs, and of what `home` holds from earlier calls.
+
+    The rows of docs come in `batches`, by the hash of their id; each batch counts its
+    own lines and meets those before it in the runs alone.
+    """
+    runs = LineRuns(docs.sparkSession, home)
     for b in range(batches):
-        runs.add(docs.sparkSession.table(name).where(f"n{b} > 0").select(*KEY, F.col(f"n{b}").alias("docs")))
-    return runs.frequent(least)
+        batch = docs if batches == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
+        runs.add(counted_lines(batch, shortest))
+    out = written_slim(runs.frequent(least), "repeated-lines")
+    runs.close()
+    return out
 
 
-def without_repeated_lines(docs: DataFrame, least: int = 10, shortest: int = 1, batches: int = 4) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = 10, shortest: int = 1, batches: int = 4, home: str | None = None) -> DataFrame:
     """Documents without the lines that many documents have.
 
     docs: doc_id, text and any other columns. Returns the columns of documents that
@@ -129,20 +189,26 @@ def without_repeated_lines(docs: DataFrame, least: int = 10, shortest: int = 1,
     its ends and with A-Z lower-cased; keys shorter than `shortest` code points
     stay. All lines of a dropped key go, in every document. Rows count as documents
     of their own even if their ids or texts repeat; a document counts once for a
-    line however often it has it. No rows give no rows.
+    line however often it has it. No rows give no rows. With a `home`, lines of
+    documents that came before count, too.
 
     Only hashes are joined with the repeated lines. A line that a third of all
     documents have is a skewed key of that join, which adaptive execution splits.
-    Texts are shuffled once, to meet the positions of their dropped lines, and are
-    put together from the runs between those, in linear time.
+    The positions of dropped lines are brought to the texts if they are counted to be
+    few, and else texts are shuffled once to meet them; texts are put together from
+    the runs between those positions, in linear time.
     """
-    frequent = written(repeated_lines(docs, least, shortest, batches), "repeated-lines")
+    frequent = repeated_lines(docs, least, shortest, batches, home)
     columns = document_columns(docs)
     ident = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2")]
     lines = docs.select("doc_id", *ident, F.posexplode(keys("text")).alias("_at", "_key")).where(F.length("_key") >= shortest)
     lines = lines.select("doc_id", "_h1", "_h2", "_at", *key_hash("_key"))
-    hits = lines.join(frequent, KEY, "left_semi").groupBy(F.col("doc_id").alias("_id"), "_h1", "_h2")
-    hits = hits.agg(F.sort_array(F.collect_set("_at")).alias("_gone")).withColumnsRenamed({"_h1": "_g1", "_h2": "_g2"})
+    hits = lines.join(frequent, KEY, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    hits = written(hits.agg(F.sort_array(F.collect_set("_at")).alias("_gone")), "dropped-lines")
+    forget(frequent)
+    size = hits.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("lines")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES:
+        hits = F.broadcast(hits)
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines")
     whole = docs.select(*[c for c in columns if c != "text"], *ident, F.col("text").isNull().alias("_null"), split)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))

@@ -44,23 +44,49 @@ def test_runs_hold_each_hash_once_and_compact(spark):
     for b in range(5):
         rows = {(i * 7919 + 13, i): 1 + i % 3 for i in range(b * 20, b * 20 + 60)}
         want.update(rows)
-        name = runs.store(spark.createDataFrame([(*k, n) for k, n in rows.items()], "k1 long, k2 long, docs long").repartition(runs.buckets, "k1", "k2"))
-        runs.add(spark.table(name))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+        runs.add(spark.createDataFrame([(*k, n) for k, n in rows.items()], "k1 long, k2 long, docs long"))
+    assert [len(level) for level in runs.runs] == [1, 0, 1]
+    assert [len(level) for level in runs.repeats] == [0, 0, 1]
     stored = Counter()
-    for r in runs.runs:
-        for k1, k2, _ in r.collect():
-            stored[k1, k2] += 1
+    for level in runs.runs:
+        for r in level:
+            stored.update((k1, k2) for k1, k2, _ in runs.read(r).collect())
     assert set(stored) == set(want) and set(stored.values()) == {1}
     assert {tuple(r) for r in runs.frequent(5).collect()} == {k for k, n in want.items() if n >= 5}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
-def test_batch_joins_runs_without_a_shuffle(spark):
+def test_later_batches_meet_the_runs_of_earlier_calls(spark, tmp_path):
+    """A second call reads its own batch alone, and counts with what is in the folder."""
+    home = f"file://{tmp_path}/runs"
+    rows = [(i, f"line {i % 7}\nown {i}") for i in range(60)]
+    first, then = rows[:30], rows[30:]
+    schema = "doc_id long, text string"
+    line_dedup.without_repeated_lines(spark.createDataFrame(first, schema), 5, batches=2, home=home).collect()
+    again = got(spark.createDataFrame(then, schema), 5, batches=1, home=home)
+    assert again == [r for r in plain(rows, 5) if int(r[0]) >= 30]
+    runs = line_dedup.LineRuns(spark, home)
+    assert sum(runs.read(r).count() for level in runs.runs for r in level) == 67
+    runs.close()
+
+
+def test_batch_and_compaction_need_no_shuffle(spark):
     runs = line_dedup.LineRuns(spark)
     rows = spark.range(1000).selectExpr("id k1", "id * 3 k2", "1L docs").repartition(runs.buckets, "k1", "k2")
-    a, b = spark.table(runs.store(rows)), spark.table(runs.store(rows))
-    plan = a.join(b.hint("merge"), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    a, b = runs.read(runs.store(rows)), runs.read(runs.store(rows)).withColumnRenamed("docs", "more")
+    for how in ("left_anti", "full_outer", "left"):
+        plan = a.join(b.hint("merge"), ["k1", "k2"], how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    for t in spark.catalog.listTables():
+        if t.name.startswith("line_run_"):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
+def test_many_positions_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    rows = [(i, f"line {i % 7}\nown {i}\nline {i % 3}") for i in range(60)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 5) == plain(rows, 5)
 
 
 def test_empty_and_null(spark):
