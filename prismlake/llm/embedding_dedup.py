@@ -25,6 +25,8 @@ from .common import components, forest, forget, table, written
 TILE, BLOCK, BOX, FIRST = 2048, 512, 4, 8
 #: Rounding that the turned vectors may show; pairs this near the threshold are computed again from the given ones.
 SLACK = 1e-9
+#: Moment matrices that a task adds up at a time.
+FAN = 8
 #: Lengths of vectors that get principal axes; rarer lengths keep their own axes.
 LENGTHS = 4
 
@@ -40,8 +42,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Axes by falling second moment for each of the commonest vector lengths.
 
-    Every vector counts. Tasks add up their own moment matrices, then up to 64
-    groups of tasks, then one: the driver gets one matrix a length.
+    Every vector counts. Tasks add up their own moment matrices, then FAN matrices at
+    a time are added up until one is left: the driver gets one matrix a length.
     """
     dims = [r[0] for r in vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()]
 
@@ -57,12 +59,16 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         m = sum(np.frombuffer(b) for b in rows["m"])
-        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "m": [m.tobytes()]})
+        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "g": [rows["g"].iloc[0]], "m": [m.tobytes()]})
 
     parts = vectors.where(F.col("dim").isin(dims)).select("dim", "embedding").mapInPandas(moments, "dim int, m binary")
-    parts = parts.withColumn("g", F.spark_partition_id() % 64).groupBy("dim", "g").applyInPandas(add, "dim int, m binary")
+    left = vectors.rdd.getNumPartitions()
+    parts = parts.withColumn("g", F.spark_partition_id())
+    while left > 1:
+        left = -(-left // FAN)
+        parts = parts.withColumn("g", F.expr(f"g div {FAN}").cast("int")).groupBy("dim", "g").applyInPandas(add, "dim int, g int, m binary")
     axes = {}
-    for d, m in parts.groupBy("dim").applyInPandas(add, "dim int, m binary").collect():
+    for d, m in parts.select("dim", "m").collect():
         _, v = np.linalg.eigh(np.frombuffer(m).reshape(d, d))
         axes[d] = np.ascontiguousarray(v[:, ::-1])
     return axes
@@ -279,6 +285,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     labels = components(found.where("v is not null"))
+    forget(tiles)
     reps = reps.join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = reps.groupBy("component").agg(F.min("least_id").alias("component_id"))
     reps = reps.join(ids, "component").select("label", "embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
