@@ -125,12 +125,19 @@ class PrefixCode:
         bits.write(*self.code[symbol])
 
     def difference(self, bits: BitReader) -> int:
-        """A signed number: the code says how many bits follow, a leading 0 that it is negative."""
-        n = self.read(bits)
-        if n == 16:
+        """A signed number: the code says how many bits it has, a leading 0 that it is negative.
+
+        Symbols above 16 name the low bits that aren't sent in their high half; such
+        a number lies in the middle of those that it may be.
+        """
+        symbol = self.read(bits)
+        if symbol == 16:
             return -32768
-        v = bits.read(n)
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+        n, lost = symbol & 15, symbol >> 4
+        if not n:
+            return 0
+        v = ((bits.read(n - lost) << 1) + 1) << lost >> 1
+        return v if v >> (n - 1) else v - (1 << n) + (0 if lost else 1)
 
     def write_difference(self, bits: BitWriter, d: int) -> None:
         d = (d + 32768) % 65536 - 32768

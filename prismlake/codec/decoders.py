@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 
 from .bits import BitReader, PrefixCode, flat_code, unpack
+from .trees import first_bits, through_curve
 
 Decoder = Callable[[bytes, int, int, dict], np.ndarray]
 
@@ -63,10 +64,13 @@ def two_lane(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
     """Differences in prefix code: even and odd columns each follow their left neighbour, first columns the row two above.
 
     The differences are read in order; the predictors are running sums, down rows of
-    one parity for the first two columns, then along the row for each parity.
+    one parity for the first two columns, then along the row for each parity. Options:
+    tree, the code as counts and symbols (without one: a flat code); then, the code
+    from row `split` on; start, the predictors by parity; curve, for the samples.
     """
-    bits, code = BitReader(data, o.get("order", "msb")), o.get("code") or flat_code()
-    split, then = o.get("split", 0), o.get("then")
+    named = lambda key: PrefixCode(*o[key]) if o.get(key) else None
+    bits, code = BitReader(data, o.get("order", "msb")), named("tree") or flat_code()
+    split, then = o.get("split", 0), named("then")
     d = np.empty((height, width), np.int64)
     for y in range(height):
         if split and y == split:
@@ -77,7 +81,8 @@ def two_lane(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
         d[p::2, :2] = np.cumsum(d[p::2, :2], axis=0) + start[p]
     for p in (0, 1):
         d[:, p::2] = np.cumsum(d[:, p::2], axis=1)
-    return d & 0xFFFF
+    d &= 0xFFFF
+    return through_curve(d, o["curve"], first_bits(data, o.get("order", "msb"))) if o.get("curve") else d
 
 
 def column_sum(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
@@ -226,7 +231,11 @@ def adaptive(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
 
 
 def lossless_jpeg(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
-    """Lossless JPEG, predictor 1, any number of components side by side in a row."""
+    """Lossless JPEG, predictor 1, any number of components side by side in a row.
+
+    Option slices: widths of vertical pieces. The samples then run down one piece after
+    the other, each as high as the frame, and wrap at the image's height.
+    """
     frame, codes, at = {}, {}, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("no start of image")
@@ -262,9 +271,23 @@ def lossless_jpeg(data: bytes, height: int, width: int, o: dict) -> np.ndarray:
     d[0, 0] += 1 << (frame["bits"] - 1)
     d[:, 0] = np.cumsum(d[:, 0], axis=0)
     out = np.cumsum(d, axis=1) & 0xFFFF
+    if o.get("slices"):
+        return unsliced(out.ravel(), o["slices"], rows, height, width)
     return out.reshape(rows, columns * n)[:height, :width]
 
 
+def unsliced(samples: np.ndarray, widths: list[int], rows: int, height: int, width: int) -> np.ndarray:
+    """Samples that run down vertical pieces, in their places; the k-th line of a piece is line k over all pieces."""
+    out, at, line = np.zeros((height, width), np.int64), 0, 0
+    for piece in widths:
+        for _ in range(rows):
+            x, y = line // height * widths[0], line % height
+            some = samples[at : at + piece][: max(0, width - x)]
+            out[y, x : x + len(some)] = some
+            at, line = at + piece, line + 1
+    return out
+
+
 DECODERS: dict[str, Decoder] = {
     "packed": packed, "control": control, "interlaced": interlaced, "words": words, "packbits": packbits, "two_lane": two_lane, "column_sum": column_sum,
     "blocks16": blocks16, "blocks14": blocks14, "adaptive": adaptive, "lossless_jpeg": lossless_jpeg,

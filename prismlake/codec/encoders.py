@@ -34,7 +34,7 @@ def two_lane(rows: np.ndarray, o: dict) -> bytes:
     d = rows.astype(np.int64).copy()
     d[:, 2:] = rows[:, 2:] - rows[:, :-2]
     d[2:, :2] = rows[2:, :2] - rows[:-2, :2]
-    w, code = BitWriter(o.get("order", "msb")), o.get("code") or flat_code()
+    w, code = BitWriter(o.get("order", "msb")), PrefixCode(*o["tree"]) if o.get("tree") else flat_code()
     for v in d.ravel():
         code.write_difference(w, int(v))
     return w.bytes()

@@ -6,11 +6,19 @@ the decoder. Slices that reach beyond their file are left out.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from prismlake.codec.trees import TREES, lane_options, tree_of_codes
 
 # Tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, MAKE, STRIP_AT, STRIP_SIZE, ROWS, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE, SUBFILE, DNG_VERSION = 256, 257, 258, 259, 271, 273, 279, 278, 322, 323, 324, 325, 254, 0xC612
+#: Tags of makers: a Nikon linearisation table (the first that is there), a Pentax code, the pieces of Canon rows.
+LINEAR, LINEAR_OLD, CODES, PIECES = 0x96, 0x8C, 0x220, 0xC640
 
 #: (maker as a prefix in capitals, compression or None for any, codec, options); the first that fits counts.
 FORMS: list[tuple[str, int | None, str, str]] = [
@@ -38,17 +46,24 @@ def raw_directories(tags: DataFrame) -> DataFrame:
     left out.
     """
     ok = tags.where("error IS NULL")
+    if "bytes" not in ok.columns:  # tags without what makers say
+        ok = ok.withColumn("bytes", F.lit(None).cast("binary"))
     nums = lambda t: F.max(F.when(F.col("tag") == t, F.col("nums")))
     each = ok.groupBy("path", "ifd_id").agg(
         *[nums(t).alias(n) for t, n in ((WIDTH, "w"), (HEIGHT, "h"), (BITS, "bits"), (COMPRESSION, "compression"), (STRIP_AT, "strip_at"), (STRIP_SIZE, "strip_size"), (ROWS, "rows"), (TILE_WIDTH, "tw"), (TILE_HEIGHT, "th"), (TILE_AT, "tile_at"), (TILE_SIZE, "tile_size"), (SUBFILE, "sub"))],
         F.max("little").alias("little"),
     )
     make = ok.where(F.col("tag") == MAKE).groupBy("path").agg(F.min_by("text", "preorder").alias("make"))
+    # What makers say of the whole file, in the first directory that has it.
+    of = lambda t, c: F.min_by(F.when(F.col("tag") == t, c), F.when(F.col("tag") == t, F.col("preorder")))
+    raw = F.struct("bytes", "little")
+    said = ok.where(F.col("tag").isin(LINEAR, LINEAR_OLD, CODES, PIECES)).groupBy("path")
+    said = said.agg(F.coalesce(of(LINEAR, raw), of(LINEAR_OLD, raw)).alias("linear"), of(CODES, raw).alias("codes"), of(PIECES, F.col("nums")).alias("pieces"))
     one = lambda c: F.col(c)[0].cast("int")
-    each = each.join(make, "path", "left").select(
+    each = each.join(make, "path", "left").join(said, "path", "left").select(
         "path", "ifd_id", one("w").alias("w"), one("h").alias("h"), F.coalesce(one("bits"), F.lit(16)).alias("bits"), F.coalesce(one("compression"), F.lit(1)).alias("compression"), "make",
         F.coalesce("tile_at", "strip_at").alias("at"), F.coalesce("tile_size", "strip_size").alias("size"), F.coalesce(one("rows"), one("h")).alias("rows"), F.coalesce(one("tw"), one("w")).alias("tw"), F.coalesce(one("th"), one("rows"), one("h")).alias("th"),
-        F.coalesce(one("sub"), F.lit(0)).alias("sub"), "little",
+        F.coalesce(one("sub"), F.lit(0)).alias("sub"), "little", "linear", "codes", "pieces",
     )
     return each.where("at IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL AND (sub & 1) = 0")
 
@@ -76,9 +91,29 @@ def olympus_strips(d: DataFrame) -> DataFrame:
     return d.withColumns({c: F.when(many, v.cast(types[c])).otherwise(F.col(c)) for c, v in whole.items()})
 
 
+@F.pandas_udf(StringType())
+def maker_options(make: pd.Series, compression: pd.Series, bits: pd.Series, linear: pd.DataFrame, codes: pd.DataFrame, pieces: pd.Series, otherwise: pd.Series) -> pd.Series:
+    """The decoder's options where a maker's own tables decide: Nikon's and Pentax's codes and curves, Canon's pieces."""
+
+    def one(make: str | None, how: int, depth: int, table: bytes | None, little: bool, code: bytes | None, order: bool, cut, plain: str) -> str:
+        make = (make or "").upper()
+        if make.startswith("NIKON") and how == 34713 and table is not None:
+            return json.dumps(lane_options(bytes(table), depth, bool(little)))
+        if make.startswith(("PENTAX", "RICOH")) and how == 65535:
+            return json.dumps({"tree": TREES["pentax"] if code is None else tree_of_codes(bytes(code), bool(order))})
+        if make.startswith("CANON") and how == 6 and cut is not None and len(cut) == 3 and cut[0] > 0:
+            return json.dumps({"slices": [int(cut[1])] * int(cut[0]) + [int(cut[2])]})
+        return plain
+
+    rows = zip(make, compression, bits, linear["bytes"], linear["little"], codes["bytes"], codes["little"], pieces, otherwise, strict=True)
+    return pd.Series([one(*r) for r in rows], dtype="object")
+
+
 def raw_slices(files: DataFrame, tags: DataFrame) -> DataFrame:
     """Slices of the largest raw directory of each file, ready for `slices.decode`, with the path."""
     d = largest(raw_directories(tags)).withColumn("form", form(F.col("make"), F.col("compression"))).where("form IS NOT NULL")
+    options = maker_options("make", "compression", "bits", "linear", "codes", "pieces", F.col("form.options"))
+    d = d.withColumn("_options", options).withColumn("form", F.struct("form.codec", F.col("_options").alias("options"))).drop("_options")
     d = olympus_strips(d)
     each = d.select("*", F.posexplode(F.arrays_zip("at", "size")).alias("slice", "s")).join(files.select("path", "content", F.length("content").alias("_n")), "path")
     each = each.where("s.at + s.size <= _n")

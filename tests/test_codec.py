@@ -1,15 +1,18 @@
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prismlake.codec import bits
+from prismlake.codec import bits, decoders, trees
+from prismlake.codec.bits import BitReader, PrefixCode
 from prismlake.codec.decoders import DECODERS, PanasonicBits, decrypt, key_stream
 from prismlake.codec.encoders import ENCODERS
 from prismlake.functions import binary
 from prismlake.plans.codec_queries import Q
-from prismlake.sources import sinks, slices, tiff
+from prismlake.sources import bitmaps, sinks, slices, tiff
 
 FORMS = [("packed", 4096, {"bits": 12, "order": o}) for o in ("msb", "lsb", "msb16", "msb32")]
 FORMS += [("packbits", 256, {}), ("two_lane", 65536, {}), ("column_sum", 4096, {}), ("lossless_jpeg", 65536, {"components": 2})]
@@ -208,3 +211,118 @@ def test_blocks16_with_one_place_for_both():
     out = DECODERS["blocks16"]((one | two << 135).to_bytes(33, "little")[:32], 1, 32, {})
     assert out[0, ::2].tolist() == [2 * (700 if i == 5 else 601 + i - (i > 5)) for i in range(16)]
     assert out[0, 1:28:2].tolist() == [1000, 960, *[2 * (481 + k) for k in range(12)]]
+
+
+def test_named_codes_give_known_numbers():
+    """Bytes worked out by hand: symbol 5 is 00, 4 is 010, 0x39 is 00 in the lower part."""
+    code = PrefixCode(*trees.TREES["12 lossy"])
+    # 5: 00 and five bits 10011 -> 19; 4: 010 and 0011 -> 3 - 15 = -12; 0: 11110 and nothing.
+    bits = BitReader(int("00" "10011" "010" "0011" "11110" "00000", 2).to_bytes(3, "big"))
+    assert code.code[5] == (0, 2) and code.code[4] == (2, 3) and code.code[0] == (0b11110, 5)
+    assert [code.difference(bits) for _ in range(3)] == [19, -12, 0]
+    # 0x39: nine bits of which three aren't sent: 110101 -> (2 * 53 + 1) * 8 / 2 = 428; 010101 -> (2 * 21 + 1) * 4 - 512 = -340.
+    low = PrefixCode(*trees.TREES["12 lossy, lower part"])
+    bits = BitReader(int("00" "110101" "00" "010101", 2).to_bytes(2, "big"))
+    assert [low.difference(bits) for _ in range(2)] == [428, -340]
+    for counts, symbols in trees.TREES.values():
+        assert sum(counts) == len(symbols) and sum(n / 2**k for k, n in enumerate(counts, 1)) <= 1
+
+
+def test_linearisation_tables():
+    import struct
+
+    head = struct.pack(">BB4h", 70, 48, 1, -2, 3, -4)
+    o = trees.lane_options(head + struct.pack(">H", 0), 14, False)
+    assert o == {"tree": trees.TREES["14 lossless"], "start": [[1, 3], [-2, -4]], "curve": 1 << 14}
+    # Five points over 4096 values: 1024 apart, joined by straight lines.
+    table = (struct.pack("<BB4h", 68, 32, 0, 0, 0, 0) + struct.pack("<H5H", 5, 0, 100, 400, 900, 1600)).ljust(562, b"\0") + struct.pack("<H", 7)
+    o = trees.lane_options(table, 12, True)
+    assert o["split"] == 7 and o["then"] == trees.TREES["12 lossy, lower part"] and len(o["curve"]) == 4096
+    assert [o["curve"][k] for k in (0, 512, 1024, 1536, 2048, 4095)] == [0, 50, 100, 250, 400, 1599]
+    o = trees.lane_options(struct.pack("<BB4h", 68, 16, 0, 0, 0, 0) + struct.pack("<H3H", 3, 5, 6, 9), 12, True)
+    assert o["curve"] == [5, 6, 9] and "split" not in o
+
+
+def test_noise_of_curves():
+    """By hand: entry 10 lies 1 below 20's middle step; the chain is 15700 * low half + high half."""
+    curve, state, want = [0, 10, 30, 60], 0x123456, []
+    samples = [1, 2, 3, 9, 0]
+    for v in samples:
+        k = min(v, 3)
+        low, high = curve[max(0, k - 1)], curve[min(3, k + 1)]
+        delta = high - low if v < 4 else 0
+        base = curve[k] - (high - low + 2) // 4 if v < 4 else 60
+        want.append(max(0, base + ((delta * (state & 2047) + 1024) >> 12)))
+        state = (15700 * (state & 65535) + (state >> 16)) & 0xFFFFFFFF
+    assert trees.through_curve(np.array(samples), curve, 0x123456).tolist() == want
+
+
+def test_code_of_a_pentax_file():
+    import struct
+
+    # Four codes 0, 10, 110, 111 for symbols 2, 0, 1, 3; the word says 4 after 12 is added, modulo 16.
+    table = struct.pack(">H", 8) + bytes(12) + struct.pack(">4H", 0b10 << 10, 0b110 << 9, 0, 0b111 << 9) + bytes([2, 3, 1, 3])
+    counts, symbols = trees.tree_of_codes(table, False)
+    assert counts[:4] == [1, 1, 2, 0] and symbols == [2, 0, 1, 3]
+    v = np.arange(24).reshape(4, 6) * 3 % 7
+    o = {"tree": trees.TREES["pentax"]}
+    assert (DECODERS["two_lane"](ENCODERS["two_lane"](v, o), 4, 6, o) == v).all()
+
+
+def test_pieces_of_rows():
+    """Two pieces of two samples and one of three, over three rows."""
+    image = np.arange(21).reshape(3, 7)
+    run = np.concatenate([image[:, :2].ravel(), image[:, 2:4].ravel(), image[:, 4:].ravel()])
+    assert (decoders.unsliced(run, [2, 2, 3], 3, 3, 7) == image).all()
+
+
+def test_makers_tables_reach_the_decoder(spark):
+    import struct
+
+    from prismlake.sources import raw
+
+    row = lambda make, how, linear=None, codes=None, pieces=None: (make, how, 12, linear and (linear, True), codes and (codes, False), pieces, "{}")
+    table = struct.pack("<BB4h", 70, 48, 0, 0, 0, 0) + struct.pack("<H", 0)
+    rows = [row("NIKON", 34713, table), row("PENTAX", 65535), row("Canon", 6, None, None, [2.0, 4.0, 3.0]), row("Canon", 6), row(None, 1)]
+    df = spark.createDataFrame(rows, "make string, compression int, bits int, linear struct<bytes:binary,little:boolean>, codes struct<bytes:binary,little:boolean>, pieces array<double>, plain string")
+    got = [json.loads(r.o) for r in df.select(raw.maker_options(*df.columns).alias("o")).collect()]
+    assert got[0]["tree"] == [list(x) for x in trees.TREES["12 lossless"]] and got[0]["curve"] == 4096
+    assert got[1:] == [{"tree": [list(x) for x in trees.TREES["pentax"]]}, {"slices": [4, 4, 3]}, {}, {}]
+
+
+def test_bitmaps(spark):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(2)
+    rgb = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+
+    def png(rows, head, *more):
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return bitmaps.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + b"".join(chunk(*m) for m in more) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    # One row with each filter, by the definition of the format.
+    flat, rows = rgb.reshape(5, 21).astype(int), b""
+    for y, how in enumerate((0, 1, 2, 3, 4)):
+        line = []
+        for k in range(21):
+            a = flat[y, k - 3] if k >= 3 else 0
+            b = flat[y - 1, k] if y else 0
+            c = flat[y - 1, k - 3] if y and k >= 3 else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((flat[y, k] - (0, a, b, (a + b) // 2, paeth)[how]) % 256)
+        rows += bytes([how, *line])
+    palette = bytes(range(12))
+    files = {
+        "filters": png(rows, (7, 5, 8, 2, 0, 0, 0)), "own": sinks.png(rgb), "bmp": sinks.bmp(rgb),
+        "palette": png(b"\0\x1b\0\xe4", (4, 2, 2, 3, 0, 0, 0), (b"PLTE", palette)), "broken": sinks.png(rgb)[:-20], "other": b"GIF89a", "none": None,
+    }
+    got = {}
+    for r in bitmaps.pixels(spark.createDataFrame(list(files.items()), "path string, content binary")).collect():
+        got.setdefault(r.path, {})[r.y, r.x] = r.error or (r.r, r.g, r.b)
+    want = {(y, x): tuple(map(int, rgb[y, x])) for y in range(5) for x in range(7)}
+    assert got["filters"] == got["own"] == got["bmp"] == want
+    colours = [tuple(palette[3 * k : 3 * k + 3]) for k in range(4)]
+    assert got["palette"] == {(y, x): colours[x if y == 0 else 3 - x] for y in range(2) for x in range(4)}
+    assert all(isinstance(got[n][None, None], str) for n in ("broken", "other", "none"))
