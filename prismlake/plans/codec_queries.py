@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import binary
 from prismlake.operators import stencil, tiles
-from prismlake.sources import rasters, sinks, slices, tiff
+from prismlake.sources import bitmaps, rasters, sinks, slices, tiff
 from prismlake.sources.rasters import DEPTH, HEIGHT, MAX, WIDTH, table
 
 from .edit import Edit, render
@@ -204,17 +204,26 @@ def _(spark, d):
     return tiles.apply(rasters.pixels(spark, d), tiles.nl_means(1, 2, 3000.0), ["r", "g", "b"], HEIGHT, WIDTH, 3)
 
 
-@query("win03_dispatch", f"WITH {MOSAIC} SELECT image_id, y, x, v FROM mosaic WHERE v < 0 OR v > {MAX}")
+@query("win03_dispatch", f"WITH {MOSAIC} SELECT a.algorithm, image_id, y, x, v FROM mosaic, (VALUES ('fast'), ('directional'), ('bilinear'), ('linear5')) a(algorithm)")
 def _(spark, d):
-    """Every algorithm keeps a site's own sample: the sites where one doesn't."""
-    m = rasters.mosaic(spark, d)
-    site = (C("y") % 2) * 2 + C("x") % 2
-    out = None
+    """Every algorithm's value of the colour that a site has itself: the site's own sample."""
+    site, out = (C("y") % 2) * 2 + C("x") % 2, None
     for name in ("fast", "directional", "bilinear", "linear5"):
-        p = stencil.demosaic(m, "RGGB", name, HEIGHT, WIDTH).join(m, KEY)
+        p = stencil.demosaic(rasters.mosaic(spark, d), "RGGB", name, HEIGHT, WIDTH)
         own = F.when(site == 0, C("r")).when(site == 3, C("b")).otherwise(C("g"))
-        bad = p.where(own != C("v")).select(*KEY, "v")
-        out = bad if out is None else out.unionByName(bad)
+        one = p.select(F.lit(name).alias("algorithm"), *KEY, own.cast("int").alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("src13_bitmap_pixels", f"WITH {PIXELS} SELECT f.form, image_id, y, x, least(255, r >> {DEPTH - 8}) AS r, least(255, g >> {DEPTH - 8}) AS g, least(255, b >> {DEPTH - 8}) AS b FROM pixels, (VALUES ('png'), ('bmp')) f(form)")
+def _(spark, d):
+    """Images as PNG and BMP files, read again."""
+    out = None
+    for form in ("png", "bmp"):
+        files = sinks.files(rasters.pixels(spark, d), form, DEPTH).withColumn("path", C("image_id").cast("string"))
+        one = bitmaps.pixels(files).where("error IS NULL").select(F.lit(form).alias("form"), C("path").cast("long").alias("image_id"), "y", "x", "r", "g", "b")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from prismlake.codec.trees import TREES
 from prismlake.functions import color, metadata, tone
 from prismlake.operators import dither, geometry, stats, stencil
 from prismlake.sources import rasters, raw, slices, tiff, vendors
@@ -47,11 +48,23 @@ def _(spark, d):
     return _curve_rows(spark, tone.cubic_fit(xs, [3 - 2 * x + 0.5 * x * x + 0.25 * x**3 for x in xs])).select("i", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("mth03_gamma_table", "SELECT count(*) AS n, 0::BIGINT AS falls, 255::BIGINT AS last FROM generate_series(0, 255) g(i)")
+#: The knee by bisection, as the function finds it; then the curve at all 256 values.
+_GAMMA = """
+WITH RECURSIVE b(k, low, high, knee) AS (
+  SELECT 0, 1e-12::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN gap > 0 THEN mid ELSE low END, CASE WHEN gap > 0 THEN high ELSE mid END, mid FROM (
+    SELECT k, low, high, mid, 4.5 * pow(mid, 0.55) / 0.45 * pow(mid, 0.45) - (4.5 * pow(mid, 0.55) / 0.45 - 1) - 4.5 * mid AS gap
+    FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE k < 48))),
+knee AS (SELECT knee, 4.5 * pow(knee, 0.55) / 0.45 - 1 AS a FROM b WHERE k = 48)
+SELECT i::INT AS i, trunc(greatest(0, least(1, CASE WHEN i / 255.0::DOUBLE < knee THEN 4.5 * i / 255.0::DOUBLE ELSE (1 + a) * pow(i / 255.0::DOUBLE, 0.45) - a END)) * 255)::BIGINT AS v
+FROM generate_series(0, 255) g(i), knee
+"""
+
+
+@query("mth03_gamma_table", _GAMMA)
 def _(spark, d):
-    w = Window.orderBy("i")
-    t = _curve_rows(spark, tone.gamma_table(0.45, 4.5, 8)).withColumn("p", F.lag("v").over(w))
-    return t.agg(F.count("*").alias("n"), F.count(F.when(C("v") < C("p"), 1)).alias("falls"), F.max("v").cast("long").alias("last"))
+    return _curve_rows(spark, tone.gamma_table(0.45, 4.5, 8)).select("i", C("v").cast("long").alias("v"))
 
 
 @query("mth04_exposure", "SELECT event_id, pow(2.0::DOUBLE, event_id % 7 - 3) AS gain, (event_id % 7 - 3)::DOUBLE AS ev FROM events")
@@ -226,13 +239,14 @@ def _(spark, d):
     return head.select("path", little.alias("little"), u(2, 2).alias("mark"), u(4, 4).alias("first"))
 
 
-def _raw_file(spark, d, codec: str, how: int, make: str):
+def _raw_file(spark, d, codec: str, how: int, make: str, shift: int, options: dict):
     """Raw files made of encoded slices, as (path, content)."""
     import struct
 
     import pandas as pd
 
-    s = slices.encode(rasters.mosaic(spark, d), 25, codec, {})
+    m = rasters.mosaic(spark, d).withColumn("v", F.shiftright("v", shift))
+    s = slices.encode(m, 25, codec, options)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("slice")
@@ -259,17 +273,18 @@ def _raw_file(spark, d, codec: str, how: int, make: str):
     return s.groupBy("image_id").applyInPandas(build, "path string, content binary")
 
 
-for _name, _codec, _how, _make in (
-    ("src14_dng_lossless", "lossless_jpeg", 7, "Any Maker"), ("src15_nef_two_lane", "two_lane", 34713, "NIKON CORPORATION"), ("src16_cr2_lossless", "lossless_jpeg", 6, "Canon"), ("src18_pef_two_lane", "two_lane", 65535, "PENTAX"),
+for _name, _codec, _how, _make, _shift, _options in (
+    ("src14_dng_lossless", "lossless_jpeg", 7, "Any Maker", 0, {}), ("src15_nef_two_lane", "two_lane", 34713, "NIKON CORPORATION", 0, {}), ("src16_cr2_lossless", "lossless_jpeg", 6, "Canon", 0, {}),
+    ("src18_pef_two_lane", "two_lane", 65535, "PENTAX", 4, {"tree": TREES["pentax"]}),
 ):
 
-    def _read(spark, d, codec=_codec, how=_how, make=_make):
-        files = _raw_file(spark, d, codec, how, make)
+    def _read(spark, d, codec=_codec, how=_how, make=_make, shift=_shift, options=_options):
+        files = _raw_file(spark, d, codec, how, make, shift, options)
         s = raw.raw_slices(files, tiff.read_tags(files))
         v = slices.decode(s).where("error IS NULL").join(s.select("image_id", "path").distinct(), "image_id")
         return v.select("path", "y", "x", "v")
 
-    query(_name, f"WITH {MOSAIC} SELECT 'raw-' || image_id AS path, y, x, v FROM mosaic")(_read)
+    query(_name, f"WITH {MOSAIC} SELECT 'raw-' || image_id AS path, y, x, v >> {_shift} AS v FROM mosaic")(_read)
 
 
 _RAF = "WITH h AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 216), 216, '0') AS h FROM documents) SELECT doc_id, " + ", ".join(f"('0x' || substr(h, {2 * a + 1}, 8))::BIGINT AS {n}" for n, a in vendors.RAF.items()) + " FROM h"
