@@ -38,6 +38,8 @@ BUCKETS, PREFIXES, PRIOR = 1 << 20, (3, 4, 5, 6, 7), 10.0
 COST, MOST = 1.0, 8.0
 #: A passage counts if chance gives fewer than this many as good.
 EXPECTED = 0.5
+#: Evidence in nats, and in strongly toxic words, from which more makes no difference to a score.
+SURE, SURE_WORDS = 40.0, 12.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE = 1 << 18
@@ -123,12 +125,17 @@ class Model:
         return [(a, b, s) for a, b, s in segments(scores) if self.decay * s > chance]
 
     def evidence(self, text: str | None) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """The features of a text, over all its passages, and the passages.
+
+        The sums level off at SURE and SURE_WORDS, where a text is toxic beyond doubt,
+        so that the weights follow the texts in doubt; passages are never cut.
+        """
         scores = self.scores(text)
         found = self.passages(scores)
         total = sum(s for *_, s in found)
         best = max((s for *_, s in found), default=0.0)
         strong = float(sum((scores[a:b] > 2).sum() for a, b, _ in found))
-        return [1.0, min(total, 40.0), min(best, 40.0), min(strong, 12.0), math.log1p(len(scores))], found
+        return [1.0, min(total, SURE), min(best, SURE), min(strong, SURE_WORDS), math.log1p(len(scores))], found
 
     def score(self, x: list[float]) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, self.weights, strict=True))))))
