@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismlake.llm.common import table, written
+from prismlake.llm.common import forget, table, written
 from prismlake.llm.decontamination import without_contaminated
 from prismlake.llm.mixing import mixed_documents
 from prismlake.llm.near_texts import without_near_duplicates
@@ -54,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table, each written before the next.
+
+    A stage's documents go when the next one's are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
