@@ -30,6 +30,12 @@ def unpack(data: Column, bits: int, count: int | Column | None = None, little: b
     return F.transform(_places(count), value)
 
 
+def parts(data: Column, size: int) -> Column:
+    """Array of the parts of `size` bytes, the last filled up with zeros."""
+    count = F.ceil(F.length(data) / size).cast("int")
+    return F.transform(_places(count), lambda i: F.unhex(F.rpad(F.hex(F.substring(data, i * size + 1, F.lit(size))), 2 * size, "0")))
+
+
 def key_xor(data: Column, first: int, factor: int, count: int | Column, start: int = 0x60) -> Column:
     """Array of `count` bytes under a running key: the key grows by factor times a counter that grows by one each byte.
 

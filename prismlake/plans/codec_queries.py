@@ -11,7 +11,7 @@ from prismlake.sources import bitmaps, rasters, sinks, slices, tiff
 from prismlake.sources.rasters import DEPTH, HEIGHT, MAX, WIDTH, table
 
 from .edit import Edit, render
-from .oracle import MOSAIC, PIXELS
+from .oracle import MOSAIC, PIXELS, hex_parts
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -29,44 +29,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_HEAD = "d AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 80), 80, '0') AS h FROM documents)"
+def _packed(bits: int, little: bool) -> str:
+    """`bits` bytes hold eight numbers."""
+    order = (7, 5, 3, 1) if little else (1, 3, 5, 7)
+    word = " || ".join(f"substr(f, {k}, 2)" for k in order)
+    shift = f"(k * {bits}) % 8" if little else f"32 - {bits} - (k * {bits}) % 8"
+    return f"WITH {hex_parts(bits)}, f AS (SELECT doc_id, n, p * 8 + k AS i, k, rpad(substr(h, 2 * (k * {bits} // 8) + 1, 8), 8, '0') AS f FROM d, generate_series(0, 7) g(k)) SELECT doc_id, i::INT AS i, ((('0x' || {word})::BIGINT >> ({shift})::INT) & {(1 << bits) - 1})::INT AS v FROM f WHERE i < n * 8 // {bits}"
 
 
-def _msb(bits: int, count: int) -> str:
-    return f"WITH {_HEAD}, i AS (SELECT doc_id, h, unnest(generate_series(0, {count - 1})) AS i FROM d) SELECT doc_id, i::INT AS i, ((('0x' || rpad(substr(h, 2 * (i * {bits} // 8) + 1, 8), 8, '0'))::BIGINT >> (32 - {bits} - (i * {bits}) % 8)::INT) & {(1 << bits) - 1})::INT AS v FROM i"
-
-
-def _unpacked(spark, d, bits: int, count: int, little: bool = False):
-    data = F.unhex(F.rpad(F.substring(F.hex("bytes"), 1, 80), 80, "0"))
-    b = rasters.byte_rows(spark, d).select("doc_id", data.alias("b"))
-    return b.select("doc_id", F.posexplode(binary.unpack(C("b"), bits, count, little)).alias("i", "v"))
-
-
-for _bits, _name in ((7, "dec01_unpack7"), (8, "dec02_unpack8"), (10, "dec03_unpack10"), (12, "dec04_unpack12"), (14, "dec05_unpack14"), (16, "dec05_unpack16")):
-    query(_name, _msb(_bits, 16))(lambda spark, d, bits=_bits: _unpacked(spark, d, bits, 16))
-
-
-@query("dec04_unpack12_le", f"WITH {_HEAD}, i AS (SELECT doc_id, h, unnest(generate_series(0, 15)) AS i FROM d), b AS (SELECT *, 2 * (i * 12 // 8) AS o FROM i) SELECT doc_id, i::INT AS i, ((('0x' || substr(h, o + 5, 2) || substr(h, o + 3, 2) || substr(h, o + 1, 2))::BIGINT >> ((i * 12) % 8)::INT) & 4095)::INT AS v FROM b")
-def _(spark, d):
-    return _unpacked(spark, d, 12, 16, True)
-
-
-@query("dec19_key_xor", f"WITH {_HEAD}, i AS (SELECT doc_id, h, unnest(generate_series(0, 39)) AS i FROM d) SELECT doc_id, i::INT AS i, xor(('0x' || substr(h, 2 * i + 1, 2))::INT, ((17 + 91 * (96 * (i + 1) + i * (i + 1) // 2)) & 255)::INT) AS v FROM i")
-def _(spark, d):
-    data = F.unhex(F.rpad(F.substring(F.hex("bytes"), 1, 80), 80, "0"))
-    b = rasters.byte_rows(spark, d).select("doc_id", data.alias("b"))
-    return b.select("doc_id", F.posexplode(binary.key_xor(C("b"), 17, 91, 40)).alias("i", "v"))
-
-
-# The queries above read the first 40 bytes, as their SQL does; these read each whole text and have no SQL.
 for _bits, _name, _little in ((7, "dec01_unpack7", False), (8, "dec02_unpack8", False), (10, "dec03_unpack10", False), (12, "dec04_unpack12", False), (12, "dec04_unpack12_le", True), (14, "dec05_unpack14", False), (16, "dec05_unpack16", False)):
 
-    @query(f"{_name}_whole")
+    @query(_name, _packed(_bits, _little))
     def _(spark, d, bits=_bits, little=_little):
         return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.unpack(C("bytes"), bits, None, little)).alias("i", "v"))
 
 
-@query("dec19_key_xor_whole")
+@query("dec19_key_xor", f"WITH {hex_parts(1)} SELECT doc_id, p::INT AS i, xor(('0x' || h)::INT, ((17 + 91 * (96 * (p + 1) + p * (p + 1) // 2)) & 255)::INT) AS v FROM d")
 def _(spark, d):
     return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.key_xor(C("bytes"), 17, 91, F.length("bytes"))).alias("i", "v"))
 

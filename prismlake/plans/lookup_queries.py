@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prismlake.functions import metadata
+from prismlake.functions import binary, metadata
 from prismlake.operators import history, lookup
 from prismlake.sources import rasters
 from prismlake.sources.rasters import table
 
-from .oracle import EDITS, TAGS
+from .oracle import EDITS, TAGS, hex_parts
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -248,9 +248,9 @@ def _(spark, d):
     return s.select("image_id", "doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
 
 
-@query("str01_until_nul", "SELECT doc_id, left(text, 10) AS head FROM documents")
+@query("str01_until_nul", "SELECT doc_id, text AS head FROM documents")
 def _(spark, d):
-    text = F.concat(F.substring("text", 1, 10), F.lit("\0"), F.lit("rest"))
+    text = F.concat("text", F.lit("\0"), F.lit("rest"))
     return table(spark, d, "documents").select("doc_id", metadata.until_nul(text).alias("head"))
 
 
@@ -322,12 +322,16 @@ def _be(a: str, n: int, little: bool) -> str:
     return " + ".join(f"{part(k)} * {256 ** (k if little else n - 1 - k)}" for k in range(n))
 
 
-@query("arr03_byte_compose", f"WITH b AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 16), 16, '0') AS h FROM documents) SELECT doc_id, {_be('0', 2, True)} AS le2, {_be('0', 2, False)} AS be2, {_be('1', 4, True)} AS le4, {_be('1', 4, False)} AS be4, {_be('0', 7, False)} AS be7 FROM b")
+@query("arr03_byte_compose", f"WITH {hex_parts(8)} SELECT doc_id, p::INT AS i, {_be('0', 2, True)} AS le2, {_be('0', 2, False)} AS be2, {_be('1', 4, True)} AS le4, {_be('1', 4, False)} AS be4, {_be('0', 7, False)} AS be7 FROM d")
 def _(spark, d):
-    data = F.unhex(F.rpad(F.substring(F.hex("bytes"), 1, 16), 16, "0"))
-    b = rasters.byte_rows(spark, d).select("doc_id", data.alias("b"))
+    """Numbers in each eight bytes of a text, the last filled up with zeros."""
     u = metadata.unsigned
-    return b.select("doc_id", u(C("b"), 0, 2, True).alias("le2"), u(C("b"), 0, 2, False).alias("be2"), u(C("b"), 1, 4, True).alias("le4"), u(C("b"), 1, 4, False).alias("be4"), u(C("b"), 0, 7, False).alias("be7"))
+
+    def numbers(b):
+        return F.struct(u(b, 0, 2, True).alias("le2"), u(b, 0, 2, False).alias("be2"), u(b, 1, 4, True).alias("le4"), u(b, 1, 4, False).alias("be4"), u(b, 0, 7, False).alias("be7"))
+
+    parts = rasters.byte_rows(spark, d).select("doc_id", F.posexplode(F.transform(binary.parts(C("bytes"), 8), numbers)).alias("i", "n"))
+    return parts.select("doc_id", "i", "n.*")
 
 
 @query("arr04_slice_concat", "WITH t AS (SELECT *, list_concat(embedding[3:6], embedding[1:2]) AS t FROM embeddings) SELECT vec_id, len(t) AS n, t[1]::DOUBLE AS a, t[5]::DOUBLE AS b, embedding[64]::DOUBLE AS last FROM t")

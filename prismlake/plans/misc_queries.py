@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prismlake.codec.trees import TREES
-from prismlake.functions import color, metadata, tone
+from prismlake.functions import binary, color, metadata, tone
 from prismlake.operators import dither, geometry, stats, stencil
 from prismlake.sources import rasters, raw, slices, tiff, vendors
 from prismlake.sources.rasters import HEIGHT, MAX, WIDTH, table
 
 from .codec_queries import _files
-from .oracle import MOSAIC, PIXELS, TAGS, at, grid
+from .oracle import MOSAIC, PIXELS, TAGS, at, grid, hex_parts
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -202,10 +202,11 @@ def _(spark, d):
     return e.select("event_id", F.element_at(F.array("event_id", "user_id", C("event_id") + C("user_id")), k).alias("v"), F.try_element_at(F.array("event_id", "user_id"), k).alias("maybe"))
 
 
-@query("arr06_byte_swap", "WITH h AS (SELECT doc_id, rpad(substr(hex(encode(text)), 1, 8), 8, '0') AS h FROM documents) SELECT doc_id, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS swapped FROM h")
+@query("arr06_byte_swap", f"WITH {hex_parts(4)} SELECT doc_id, p::INT AS i, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS swapped FROM d")
 def _(spark, d):
-    four = F.unhex(F.rpad(F.substring(F.hex("bytes"), 1, 8), 8, "0"))
-    return rasters.byte_rows(spark, d).select("doc_id", F.lpad(F.hex(metadata.unsigned(four, 0, 4, True)), 8, "0").alias("swapped"))
+    """Each four bytes of a text the other way round, the last filled up with zeros."""
+    words = F.transform(binary.parts(C("bytes"), 4), lambda b: F.lpad(F.hex(metadata.unsigned(b, 0, 4, True)), 8, "0"))
+    return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(words).alias("i", "swapped"))
 
 
 @query("map04_overrides", "SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#1') THEN 10 WHEN contains(p_type, 'TIN') THEN 20 ELSE p_size END AS margin FROM part")

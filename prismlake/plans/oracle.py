@@ -42,3 +42,9 @@ def at(c: str, dy: int, dx: int, mirror: bool = False) -> str:
     if not mirror:
         return one(dy, dx)
     return "coalesce(" + ", ".join(dict.fromkeys([one(dy, dx), one(-dy, dx), one(dy, -dx), one(-dy, -dx)])) + ", 0)"
+
+
+def hex_parts(size: int) -> str:
+    """Each text's bytes as hex in parts of `size` bytes, the last filled up with zeros: doc_id, n (bytes), p (part), h."""
+    padded = f"rpad(hex(encode(text)), (2 * {size} * ceil(octet_length(encode(text)) / {size}::DOUBLE))::INT, '0')"
+    return f"l AS (SELECT doc_id, octet_length(encode(text)) AS n, regexp_extract_all({padded}, '.{{{2 * size}}}') AS l FROM documents), d AS (SELECT doc_id, n, unnest(generate_series(0, len(l) - 1)) AS p, unnest(l) AS h FROM l)"
