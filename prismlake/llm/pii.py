@@ -7,15 +7,25 @@ of what they stand for. The distinct entities of the corpus are checked for
 collisions: no two entities may share a surrogate, and no surrogate may be an
 entity that occurs; the entities that collide are drawn again until none does.
 
+A name is found by its title ("Dr. Anna Maria Schmidt"), by a given name that is
+listed below ("John F. Kennedy") or by a phrase before it ("my name is ..."), and
+reaches over all capitalised parts, initials and particles that follow, up to
+`MORE_PARTS` after the first. Its last part is the family name, the others are given names;
+each part has its own surrogate, initials change by a keyed alphabet, and
+particles stay. Names without any of the three signs are out of reach and stay, and a
+capitalised word right behind a name is taken as a part of it.
+
 Built from DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_columns, table, written
+from .common import document_columns, forget, table, written
 
 # Titles and common given names, by gender.
 MALE_TITLES = ["Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "г-н", "господин"]
@@ -25,6 +35,10 @@ MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard
 FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Emma", "Ursula", "Monika", "Petra", "Sabine", "Marie", "Nathalie", "Isabelle", "Sylvie", "Claire", "María", "Carmen", "Ana", "Isabel", "Lucía", "Elena"]
 MALE_CYRILLIC = ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Андрей", "Михаил"]
 FEMALE_CYRILLIC = ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана"]
+#: Words that stand before a part of a name and belong to it.
+PARTICLES = ["von", "van", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "ter", "ten", "bin", "ibn", "al", "y"]
+#: Phrases that announce a name of at least two parts.
+PHRASES = ["my name is ", "My name is ", "full name: ", "Full name: ", "signed by ", "Signed by "]
 SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "ka", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "wa"]
 SYLLABLES_CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "го", "да", "де", "до", "за", "ка", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "ра", "ре", "ро", "са", "се", "со", "та", "те", "то", "ша", "ше"]
 #: First and last code point of the letters that stand in for a letter of a script.
@@ -34,9 +48,13 @@ SCRIPTS = {"Han": (0x4E00, 0x9FA5), "Hangul": (0xAC00, 0xD7A3), "Hiragana": (0x3
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}+"
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _NAMES = "|".join(MALE_NAMES + FEMALE_NAMES + MALE_CYRILLIC + FEMALE_CYRILLIC)
-_PART = r"\p{Lu}[\p{L}'’-]{1,40}"
+MORE_PARTS = 6  # of a name after its first; the pattern's engine recurses for each
+_PART = rf"(?!(?:{_TITLES})(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
+_BEFORE = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)})\x20){{0,3}}"
+_LINK = _BEFORE + _PART
 _CJK = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]{2,4}(?=先生|女士|さん|様|씨)(?:先生|女士|さん|様|씨)"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.?\x20{_PART}(?:\x20{_PART})?|(?:{_NAMES})\x20{_PART})|{_CJK}"
+_MORE = rf"(?:\x20{_LINK})"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.?\x20{_LINK}{_MORE}{{0,{MORE_PARTS}}}|(?:{_NAMES}){_MORE}{{1,{MORE_PARTS}}}|(?<=(?:{'|'.join(PHRASES)})){_LINK}{_MORE}{{1,{MORE_PARTS}}})|{_CJK}"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -82,9 +100,11 @@ def _seen(text: str) -> F.Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, at, value, kind, ...) for every entity of every whole text.
+    """(doc_id, h1, h2, at, value, kind, piece, before, unit, main, like, after): the pieces of every entity of every whole text.
 
-    at counts the matches of the pattern in the text. Card numbers and account
+    at counts the matches of the pattern in the text. A piece is a part of a name, the
+    local part or the domain of an address, or the whole of another entity: unit and main
+    say whose surrogate it gets, `like` what it looks like, before and after what stands around it. Card numbers and account
     numbers need right check digits and network addresses right octets; other
     matches have a null kind and stay.
     """
@@ -92,20 +112,30 @@ def entities(docs: DataFrame) -> DataFrame:
     each = each.distinct()  # repeated rows have the same entities
     kind, moved = _kind()
     each = each.withColumn("digits", F.expr(DIGITS)).withColumn("moved", moved).withColumn("kind", kind).where("kind IS NOT NULL").drop("moved")
-    # Names: title, given name, family name; the suffix of names that have their title behind.
+    # Names: title, parts and what stands before each; the suffix of names that have their title behind.
     each = each.withColumn("title", F.when(F.col("kind") == "name", F.expr(f"coalesce(regexp_extract(value, {_text('^((?:' + _TITLES + ')[.]? )')}, 1), '')")).otherwise(""))
     each = each.withColumn("suffix", F.when(F.col("kind") == "name", F.expr("regexp_extract(value, '(先生|女士|さん|様|씨)$', 1)")).otherwise(""))
-    each = each.withColumn("parts", F.when(F.col("kind") == "name", F.expr("split(substr(value, length(title) + 1, length(value) - length(title) - length(suffix)), ' ')")))
-    first = F.expr("if(size(parts) = 2, parts[0], null)")
+    body = "substr(value, length(title) + 1, length(value) - length(title) - length(suffix))"
+    each = each.withColumn("body", F.when((F.col("kind") == "name") & (F.col("suffix") == ""), F.expr(body)))
+    pieces = lambda group: F.expr(f"regexp_extract_all(body, {_text(f'({_BEFORE})({_PART})')}, {group})")
+    each = each.withColumn("before", F.when(F.col("body").isNotNull(), pieces(1)).otherwise(F.array(F.lit(""))))
+    each = each.withColumn("parts", F.when(F.col("body").isNotNull(), pieces(2)).otherwise(F.array(F.expr(body))))
     plain = F.expr("trim('. ' FROM title)")
+    first = F.expr("if(size(parts) > 1, parts[0], null)")
     gender = F.when(plain.isin(MALE_TITLES) | first.isin(MALE_NAMES + MALE_CYRILLIC), "m").when(plain.isin(FEMALE_TITLES) | first.isin(FEMALE_NAMES + FEMALE_CYRILLIC), "f").otherwise("x")
-    each = each.withColumn("given", first).withColumn("family", F.expr("element_at(parts, -1)")).withColumn("gender", gender)
-    main = F.expr(
-        "CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value WHEN 'name' THEN lower(family)"
-        " WHEN 'iban' THEN regexp_replace(value, ' ', '') WHEN 'phone' THEN concat(if(value LIKE '+%', '+', ''), digits) ELSE digits END"
+    each = each.withColumn("gender", gender)
+    main = (
+        "CASE kind WHEN 'ip' THEN value WHEN 'iban' THEN regexp_replace(value, ' ', '')"
+        " WHEN 'phone' THEN concat(if(value LIKE '+%', '+', ''), digits) ELSE digits END"
     )
-    each = each.withColumn("main", main).withColumn("domain", F.expr("if(kind = 'email', substring_index(lower(value), '@', -1), null)"))
-    return each.drop("parts", "digits").withColumn("given_kind", F.concat(F.lit("given_"), "gender")).withColumn("given_main", F.lower("given"))
+    whole = f"array(struct('' AS before, kind AS unit, {main} AS main, value AS like, '' AS after))"
+    email = "array(struct('' AS before, 'email' AS unit, lower(value) AS main, value AS like, '@' AS after), struct('' AS before, 'domain' AS unit, substring_index(lower(value), '@', -1) AS main, '' AS like, '' AS after))"
+    name = (
+        "transform(parts, (p, i) -> struct(concat(if(i = 0, title, ' '), before[i]) AS before,"
+        " if(i = size(parts) - 1, 'name', concat('given_', gender)) AS unit, lower(p) AS main, p AS like, if(i = size(parts) - 1, suffix, '') AS after))"
+    )
+    units = F.expr(f"CASE kind WHEN 'email' THEN {email} WHEN 'name' THEN {name} ELSE {whole} END")
+    return each.select("doc_id", "h1", "h2", "at", "value", "kind", F.posexplode(units).alias("piece", "u")).select("doc_id", "h1", "h2", "at", "value", "kind", "piece", "u.*")
 
 
 def _drawn(key: str) -> tuple[F.Column, F.Column]:
@@ -176,20 +206,23 @@ def surrogates(units: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
     keeps it, unless an earlier round gave it away or it occurs as an entity of
     the kind. All steps are equi-joins and grouped minima on distinct units.
     """
+    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = units.select("kind", F.lower("main").alias("low"))
     units = units.withColumn("attempt", F.lit(0))
     done = None
     for _ in range(most_rounds):
-        tried = drawn(units, key).withColumn("low", F.lower("s"))
+        # A draw is long work on a short row: a stated number of tasks, which adaptive execution leaves alone.
+        tried = written(drawn(units.repartition(spread, "kind", "main"), key).withColumn("low", F.lower("s")), "surrogates-drawn")
         least = tried.groupBy("kind", "low").agg(F.min("main").alias("least"))
         least = least.join(real, ["kind", "low"], "left_anti")
         if done is not None:
             least = least.join(done.select("kind", F.lower("s").alias("low")), ["kind", "low"], "left_anti")
-        tried = tried.join(least, ["kind", "low"], "left").withColumn("won", F.coalesce(F.col("least") == F.col("main"), F.lit(False)))
-        tried = written(tried.select("kind", "main", "attempt", "s", "won"), "surrogates")
-        won = tried.where("won").select("kind", "main", "s")
-        done = won if done is None else done.unionByName(won)
-        units = tried.where("NOT won").select("kind", "main", (F.col("attempt") + 1).alias("attempt"))
+        won = F.coalesce(F.col("least") == F.col("main"), F.lit(False))
+        settled = written(tried.join(least, ["kind", "low"], "left").select("kind", "main", "attempt", "s", won.alias("won")), "surrogates")
+        forget(tried)
+        given = settled.where("won").select("kind", "main", "s")
+        done = given if done is None else done.unionByName(given)
+        units = settled.where("NOT won").select("kind", "main", (F.col("attempt") + 1).alias("attempt"))
         if units.isEmpty():
             return done
     raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
@@ -199,11 +232,24 @@ def surrogates(units: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
 LAID = "aggregate(split(value, ''), struct('' AS t, 1 AS k), (a, c) -> if(c rlike '[A-Za-z0-9]', struct(concat(a.t, substr({0}, a.k, 1)) AS t, a.k + 1 AS k), struct(concat(a.t, c) AS t, a.k AS k)), a -> a.t)"
 
 
+_REST = f"regexp_replace(before, {_text('^(?:' + _TITLES + ')[.]? ')}, '')"
+
+
 def _cased(like: str, s: str) -> str:
     cap = f"concat(upper(substr({s}, 1, 1)), substr({s}, 2))"
     return f"CASE WHEN {like} = upper({like}) AND {like} <> lower({like}) AND length({like}) > 1 THEN upper({s}) WHEN {like} = lower({like}) THEN {s} ELSE {cap} END"
 
 
+def _initials(text: str, key: str) -> str:
+    """Capitals before a dot by others: a keyed turn of the alphabet, so that different letters stay different."""
+    out = text
+    for first, n in (("A", 26), ("А", 32)):
+        turn = 1 + int.from_bytes(hashlib.sha256(f"{key}|initial".encode()).digest()[:4]) % (n - 1)
+        letters = "".join(chr(ord(first) + i) for i in range(n))
+        out = f"translate({out}, '{letters}', '{letters[turn:] + letters[:turn]}')"
+    return out
+
+
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Documents with surrogates for personal data.
 
@@ -219,20 +265,18 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     are shuffled once, to meet their surrogates.
     """
     found = written(entities(docs), "pii-entities")
-    units = found.select("kind", "main").unionByName(found.where("domain IS NOT NULL").select(F.lit("domain").alias("kind"), F.col("domain").alias("main")))
-    units = units.unionByName(found.where("given IS NOT NULL").select(F.col("given_kind").alias("kind"), F.col("given_main").alias("main")))
-    units = written(units.distinct(), "pii-units")
+    units = written(found.select(F.col("unit").alias("kind"), "main").distinct(), "pii-units")
     given = surrogates(units, key)
-    named = lambda kind, main, s: given.select(F.col("kind").alias(kind), F.col("main").alias(main), F.col("s").alias(s))
-    each = found.join(given, ["kind", "main"])
-    each = each.join(named("given_kind", "given_main", "s_given"), ["given_kind", "given_main"], "left")
-    each = each.withColumn("domain_kind", F.lit("domain")).join(named("domain_kind", "domain", "s_domain"), ["domain_kind", "domain"], "left")
+    each = found.join(given.select(F.col("kind").alias("unit"), "main", "s"), ["unit", "main"])
+    before = f"if(piece = 0, concat(regexp_extract(before, {_text('^((?:' + _TITLES + ')[.]? )?')}, 0), {_initials(_REST, key)}), {_initials('before', key)})"
     new = F.expr(
-        f"""CASE kind WHEN 'email' THEN concat(s, '@', s_domain) WHEN 'ip' THEN s
-        WHEN 'name' THEN concat(title, if(given IS NULL, '', concat({_cased('given', 's_given')}, ' ')), {_cased('family', 's')}, suffix)
-        WHEN 'phone' THEN {LAID.format("ltrim('+', s)")} ELSE {LAID.format('s')} END"""
+        f"""concat({before}, CASE WHEN kind = 'email' OR kind = 'ip' THEN s WHEN kind = 'name' THEN {_cased('like', 's')}
+        WHEN kind = 'phone' THEN {LAID.format("ltrim('+', s)").replace('(value,', '(like,')} ELSE {LAID.format('s').replace('(value,', '(like,')} END, after)"""
     )
-    each = each.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2"), F.struct("at", new.alias("new"), "kind").alias("e"))
+    each = each.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2"), "at", "kind", F.struct("piece", new.alias("new")).alias("e"))
+    each = each.repartition("_id", "_g1", "_g2")  # serves both groupings
+    each = each.groupBy("_id", "_g1", "_g2", "at", "kind").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    each = each.withColumn("e", F.struct("at", F.expr("array_join(e.new, '')").alias("new"), "kind"))
     each = each.groupBy("_id", "_g1", "_g2").agg(F.sort_array(F.collect_list("e")).alias("_e"))
     columns = document_columns(docs)
     whole = docs.select(*columns, F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2"))

@@ -93,7 +93,64 @@ def test_collisions_are_drawn_again(spark):
     assert not real & {r.s.lower() for r in got if r.kind == "given_m"}
 
 
-def test_key_and_plain_python(spark):
+NAMES = [
+    "Dr. Anna Maria Schmidt saw John F. Kennedy, ANNA KRAUS (as listed names are spelt, she stays) and Anna Schmidt.", "Mary Ann Smith wrote to mary@x.org",
+    "Frau Ursula von der Leyen; Mr. J. R. Smith", "hi, my name is Xanthe Q. Quibble and that's it", "Full name: Only", "signed by Yolanda Smith Mrs. Smith",
+    "Sr. José María O'Neill-García", "г-жа Ольга В. Петрова", "Mr. " + "Ab " * 20 + "Mrs. Smith", "Professor Xanthe Quibble stays", "Mr. john",
+]
+
+
+def test_names_against_plain_python(spark):
+    """Every part of a name by its own surrogate, put together in plain Python."""
+    titles = sorted(pii.MALE_TITLES + pii.FEMALE_TITLES + pii.OTHER_TITLES, key=len, reverse=True)
+    men, women = pii.MALE_NAMES + pii.MALE_CYRILLIC, pii.FEMALE_NAMES + pii.FEMALE_CYRILLIC
+
+    def units(value):
+        """[(literal, None) or (part, kind)] of one entity."""
+        if "@" in value:
+            return [(value, "email"), ("@", None), (value.split("@")[1], "domain")]
+        title = next((t for t in titles if regex.match(rf"{t}\.? ", value)), "")
+        words, out = value.split(" "), []
+        names = [w for k, w in enumerate(words) if not (k == 0 and title) and w not in pii.PARTICLES and not regex.fullmatch(r"\p{Lu}\.", w)]
+        first = names[0] if len(names) > 1 else None
+        gender = "m" if title in pii.MALE_TITLES or first in men else "f" if title in pii.FEMALE_TITLES or first in women else "x"
+        for k, w in enumerate(words):
+            out.append((" ", None) if k else ("", None))
+            if w in names and not (k == 0 and title):
+                last = k == len(words) - 1
+                out.append((w, "name" if last else f"given_{gender}"))
+            else:
+                out.append((w if w in pii.PARTICLES or k == 0 and title else "*" + w, None))
+        return out
+
+    found = [[units(v) for v in pieces(t)[0]] for t in NAMES]
+    wanted = sorted({(k, p.lower()) for t in found for e in t for p, k in e if k})
+    given = {(r.kind, r.main): r.s for r in pii.surrogates(spark.createDataFrame(wanted, "kind string, main string"), "k").collect()}
+
+    def cased(like, s):
+        return s.upper() if like.isupper() and len(like) > 1 else s if like.islower() else s[0].upper() + s[1:]
+
+    for text, entities, r in zip(NAMES, found, run(spark, NAMES), strict=True):
+        want, between = "", pieces(text)[1]
+        for k, e in enumerate(entities):
+            new = "".join(p if kind is None else given[kind, p.lower()] if kind in ("email", "domain") else cased(p, given[kind, p.lower()]) for p, kind in e)
+            want += regex.escape(between[k]) + regex.sub(r"\\\*(.)\\\.", r"(?!\1)\\p{Lu}\.", regex.escape(new))
+        assert regex.fullmatch(want + regex.escape(between[-1]), r.text), (text, r.text, want)
+        assert r.n_entities == len(entities)
+    new = [r.text for r in run(spark, NAMES)]
+    assert not any(w in " ".join(new[:4] + new[5:8]).split() for w in ("Schmidt", "Kennedy", "Maria", "Ann", "Leyen;", "Quibble"))
+    assert [len(e) for e in found] == [3, 2, 2, 1, 0, 2, 1, 1, 2, 0, 0]
+    assert new[9:] == NAMES[9:]
+
+
+def test_draws_are_spread(spark):
+    units = spark.createDataFrame([("email", f"a{i}@x.org") for i in range(50)], "kind string, main string")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = pii.drawn(units.withColumn("attempt", pii.F.lit(0)).repartition(spread, "kind", "main"), "k")
+    assert plan.rdd.getNumPartitions() == spread
+
+
+def test_key_decides(spark):
     text = ["write to a@b.org or 8.8.8.8"]
     assert run(spark, text, "k")[0].text == run(spark, text, "k")[0].text != run(spark, text, "other")[0].text
 
