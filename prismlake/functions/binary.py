@@ -36,6 +36,11 @@ def parts(data: Column, size: int) -> Column:
     return F.transform(_places(count), lambda i: F.unhex(F.rpad(F.hex(F.substring(data, i * size + 1, F.lit(size))), 2 * size, "0")))
 
 
+def split_row(row: Column, half: Column) -> Column:
+    """Row of an image that is stored with its `half` even rows before its odd ones."""
+    return F.when(row < half, row * 2).otherwise((row - half) * 2 + 1)
+
+
 def key_xor(data: Column, first: int, factor: int, count: int | Column, start: int = 0x60) -> Column:
     """Array of `count` bytes under a running key: the key grows by factor times a counter that grows by one each byte.
 

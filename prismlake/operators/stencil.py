@@ -127,6 +127,18 @@ def demosaic_pattern(df: DataFrame, pattern: str, size: int) -> DataFrame:
     return df.select("image_id", "y", "x", mean(0).alias("r"), mean(1).alias("g"), mean(2).alias("b"))
 
 
+def demosaic_spread(df: DataFrame, pattern: str, size: int) -> DataFrame:
+    """Every sample goes to its eight neighbours of other colours; of several of a colour the last in reading order stays.
+
+    A site keeps its own sample; a colour that no neighbour has is 0 there.
+    """
+    color = cfa_color(pattern, F.col("y"), F.col("x"), size)
+    df = neighbourhood(df.withColumn("c", F.struct("v", color.alias("color"))).drop("v"), ["c"], 1)
+    around = [F.col("_c")[j][i] for j in (2, 1, 0) for i in (2, 1, 0) if (j, i) != (1, 1)]
+    last = lambda k: F.coalesce(*[F.when(c["color"] == k, c["v"]) for c in [F.col("c"), *around]], F.lit(0)).cast("int")
+    return df.select("image_id", "y", "x", last(0).alias("r"), last(1).alias("g"), last(2).alias("b"))
+
+
 def demosaic_directional(df: DataFrame, pattern: str, height: int, width: int, threshold: float = 2.0) -> DataFrame:
     """Green along the direction of the smaller gradient, red and blue by colour differences.
 
@@ -221,6 +233,28 @@ def demosaic(df: DataFrame, pattern: str, algorithm: str, height: int, width: in
     return {"fast": demosaic_fast, "linear5": demosaic_linear5}[algorithm](df, pattern)
 
 
+def chroma_420(df: DataFrame, matrix: tuple, gains: tuple) -> DataFrame:
+    """Luma v at every pixel and chroma cb, cr at even columns of even rows, to red, green and blue.
+
+    Chroma between two sites is their mean. Between four it is the mean of the one above
+    to the left, the two means beside it and the one below to the right. The last column takes
+    that of its left, the last row that of the row above.
+    """
+    from prismlake.functions.binary import chroma_to_rgb
+
+    w, down, odd_x, odd_y = along_row(), along_column(), F.col("x") % 2 == 1, F.col("y") % 2 == 1
+    for c in ("cb", "cr"):
+        left = F.coalesce(F.col(c), F.lag(c).over(w))
+        right = F.when(odd_x, F.lead(c).over(w))
+        df = df.withColumns({"_l": left, "_r": right}).withColumn("_a", F.when(F.col("_r").isNull(), F.col("_l")).otherwise(F.shiftright(F.col("_l") + F.col("_r"), 1)))
+        below, above = F.lead("_l").over(down), F.lag("_l").over(down)
+        beside, across, corner = F.shiftright(above + below, 1), F.lag("_a").over(down), F.lead("_r").over(down)
+        four = F.shiftright(above + across + beside + corner, 2)
+        df = df.withColumn(f"_{c}", F.when(~odd_y, F.col("_a")).when(below.isNull(), across).when(corner.isNull(), beside).otherwise(four)).drop("_l", "_r", "_a")
+    rgb = chroma_to_rgb(F.col("v").cast("long"), F.col("_cb").cast("long"), F.col("_cr").cast("long"), matrix, gains)
+    return df.select("image_id", "y", "x", *[c.alias(n) for n, c in zip("rgb", rgb, strict=True)])
+
+
 def chroma_422(df: DataFrame, matrix: tuple, gains: tuple) -> DataFrame:
     """Luma v at every pixel and chroma cb, cr at even columns, to red, green and blue.
 

@@ -65,6 +65,36 @@ def _(spark, d):
     return stencil.chroma_422(m, binary.CHROMA, (300, 256, 280))
 
 
+def _full(c: str) -> str:
+    """The rows' chroma l, r, a of `c`, then the four cases."""
+    beside = f"((lag(l_{c}) OVER k + lead(l_{c}) OVER k) >> 1)"
+    corner = f"lead(r_{c}) OVER k"
+    return f"CASE WHEN y % 2 = 0 THEN a_{c} WHEN lead(l_{c}) OVER k IS NULL THEN lag(a_{c}) OVER k WHEN {corner} IS NULL THEN {beside} ELSE (lag(l_{c}) OVER k + lag(a_{c}) OVER k + {beside} + {corner}) >> 2 END"
+
+
+@query(
+    "dec20_sraw_420",
+    f"""WITH {MOSAIC}, c AS (SELECT *, CASE WHEN x % 2 = 0 AND y % 2 = 0 THEN {_CB} END AS cb, CASE WHEN x % 2 = 0 AND y % 2 = 0 THEN {_CR} END AS cr FROM mosaic),
+    s AS (SELECT *, {", ".join(f"coalesce({c}, lag({c}) OVER w) AS l_{c}, CASE WHEN x % 2 = 1 THEN lead({c}) OVER w END AS r_{c}" for c in ("cb", "cr"))} FROM c WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+    t AS (SELECT *, {", ".join(f"CASE WHEN r_{c} IS NULL THEN l_{c} ELSE (l_{c} + r_{c}) >> 1 END AS a_{c}" for c in ("cb", "cr"))} FROM s),
+    u AS (SELECT *, {_full("cb")} AS b1, {_full("cr")} AS r1 FROM t WINDOW k AS (PARTITION BY image_id, x ORDER BY y))
+    SELECT image_id, y, x, {", ".join(f"(greatest(0, least({65535 << 8}, (v + ((b1 * {a} + r1 * {b}) >> 12))::BIGINT * {g})) >> 8)::INT AS {n}" for n, (a, b), g in zip("rgb", binary.CHROMA, (300, 256, 280), strict=True))} FROM u""",
+)
+def _(spark, d):
+    m, site = rasters.mosaic(spark, d), (C("x") % 2 == 0) & (C("y") % 2 == 0)
+    pair = F.expr("x div 2 * 2")
+    m = m.withColumns({"cb": F.when(site, (pair * 37 + C("y") * 11) % 2000 - 1000), "cr": F.when(site, (pair * 53 + C("y") * 7) % 2000 - 1000)})
+    return stencil.chroma_420(m, binary.CHROMA, (300, 256, 280))
+
+
+@query("dec22_split_rows", f"WITH v AS ({_packed(12, False)}), n AS (SELECT doc_id, i, v, count(*) OVER (PARTITION BY doc_id) // 128 AS half FROM v) SELECT doc_id, CASE WHEN i // 64 < half THEN 2 * (i // 64) ELSE 2 * (i // 64 - half) + 1 END::INT AS y, (i % 64)::INT AS x, v FROM n WHERE i < half * 128")
+def _(spark, d):
+    """Texts as 12-bit samples in rows of 64 whose even rows come before the odd ones; a row without its pair is left out."""
+    b = rasters.byte_rows(spark, d).withColumn("half", F.floor(F.length("bytes").cast("long") * 8 / 12 / 128).cast("int"))
+    v = b.select("doc_id", "half", F.posexplode(binary.unpack(C("bytes"), 12, C("half") * 128)).alias("i", "v"))
+    return v.select("doc_id", binary.split_row(F.expr("i div 64").cast("int"), C("half")).alias("y"), (C("i") % 64).alias("x"), "v")
+
+
 @query("dec24_tiles", "WITH i AS (SELECT p_partkey AS image_id, p_size * 10 AS height, p_size * 15 AS width FROM part), y AS (SELECT *, unnest(generate_series(0, height - 1, 64)) AS off_y FROM i), x AS (SELECT *, unnest(generate_series(0, width - 1, 100)) AS off_x FROM y) SELECT image_id, (off_y // 64 * ceil(width / 100.0::DOUBLE) + off_x // 100)::INT AS slice, off_y::INT AS off_y, off_x::INT AS off_x, least(64, height - off_y)::INT AS h, least(100, width - off_x)::INT AS w FROM x")
 def _(spark, d):
     i = table(spark, d, "part").select(C("p_partkey").alias("image_id"), (C("p_size") * 10).alias("height"), (C("p_size") * 15).alias("width"))

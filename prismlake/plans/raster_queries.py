@@ -445,6 +445,16 @@ def _(spark, d):
     return stencil.demosaic_pattern(rasters.mosaic(spark, d), XTRANS, 6)
 
 
+def _spread_sql(k: int) -> str:
+    cells = ["c", *[at("c", *p) for p in ((1, 1), (1, 0), (1, -1), (0, 1), (0, -1), (-1, 1), (-1, 0), (-1, -1))]]
+    return "coalesce(" + ", ".join(f"CASE WHEN {c} % 4 = {k} THEN {c} // 4 END" for c in cells) + ", 0)::INT"
+
+
+@query("win10_demosaic_spread", f"WITH {MOSAIC}, coded AS (SELECT image_id, y, x, v * 4 + {['RGB'.index(c) for c in XTRANS]}[((y % 6) * 6 + x % 6 + 1)::INT] AS c FROM mosaic), {grid('coded', ['c'], 1)} SELECT image_id, y, x, {_spread_sql(0)} AS r, {_spread_sql(1)} AS g, {_spread_sql(2)} AS b FROM grid")
+def _(spark, d):
+    return stencil.demosaic_spread(rasters.mosaic(spark, d), XTRANS, 6)
+
+
 def _sum(*cells: tuple) -> str:
     return "(" + " + ".join(f"coalesce({at('v', *c)}, 0)" for c in cells) + ")"
 

@@ -91,6 +91,20 @@ def olympus_strips(d: DataFrame) -> DataFrame:
     return d.withColumns({c: F.when(many, v.cast(types[c])).otherwise(F.col(c)) for c, v in whole.items()})
 
 
+def sony_strips(d: DataFrame) -> DataFrame:
+    """Compressed Sony data: running sums over columns where the size isn't that of the samples, with eight rows more; else blocks or 12-bit samples.
+
+    Other depths get a codec that no decoder has, so an error row.
+    """
+    sony = F.upper(F.coalesce("make", F.lit(""))).startswith("SONY") & (F.col("compression") == 32767)
+    sums = F.col("size")[0].cast("long") * 8 != F.col("w").cast("long") * F.col("h") * F.col("bits")
+    codec = F.when(sums, "column_sum").when(F.col("bits") == 8, "blocks16").when(F.col("bits") == 12, "packed").otherwise("sony of unknown form")
+    options = F.when(codec == "packed", '{"bits": 12, "order": "lsb"}').otherwise("{}")
+    types, taller = dict(d.dtypes), F.col("h") + F.when(sums, 8).otherwise(0)
+    whole = {"form": F.struct(codec.alias("codec"), options.alias("options")), "h": taller, "th": taller}
+    return d.withColumns({c: F.when(sony, v.cast(types[c])).otherwise(F.col(c)) for c, v in whole.items()})
+
+
 @F.pandas_udf(StringType())
 def maker_options(make: pd.Series, compression: pd.Series, bits: pd.Series, linear: pd.DataFrame, codes: pd.DataFrame, pieces: pd.Series, otherwise: pd.Series) -> pd.Series:
     """The decoder's options where a maker's own tables decide: Nikon's and Pentax's codes and curves, Canon's pieces."""
@@ -114,7 +128,7 @@ def raw_slices(files: DataFrame, tags: DataFrame) -> DataFrame:
     d = largest(raw_directories(tags)).withColumn("form", form(F.col("make"), F.col("compression"))).where("form IS NOT NULL")
     options = maker_options("make", "compression", "bits", "linear", "codes", "pieces", F.col("form.options"))
     d = d.withColumn("_options", options).withColumn("form", F.struct("form.codec", F.col("_options").alias("options"))).drop("_options")
-    d = olympus_strips(d)
+    d = sony_strips(olympus_strips(d))
     each = d.select("*", F.posexplode(F.arrays_zip("at", "size")).alias("slice", "s")).join(files.select("path", "content", F.length("content").alias("_n")), "path")
     each = each.where("s.at + s.size <= _n")
     across = F.ceil(F.col("w") / F.col("tw"))

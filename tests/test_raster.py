@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake.functions import color, metadata, tone
+from prismlake.functions import binary, color, metadata, tone
 from prismlake.operators import geometry, history, lookup, opcodes, stats, stencil, tiles
 from prismlake.plans.edit import Edit, render
 
@@ -231,3 +231,49 @@ def test_queries_against_sql(spark):
         key = lambda r: json.dumps(r, default=str)
         assert sorted((list(r) for r in got.select(*names).collect()), key=key) == sorted((list(r) for r in want.fetchall()), key=key), name
     assert entry.entry(spark).count() > 0
+
+
+def test_spread_is_the_last_writer(spark):
+    rnd = np.random.default_rng(3)
+    for h, w in ((7, 8), (1, 5), (6, 1)):
+        v = rnd.integers(0, 65536, (h, w))
+        pattern = "GBGGRGRGRBGBGBGGRGGRGGBGBGBRGRGRGGBG"
+        color = np.array([["RGB".index(pattern[y % 6 * 6 + x % 6]) for x in range(w)] for y in range(h)])
+        out = np.zeros((h, w, 3), int)
+        for y in range(h):
+            for x in range(w):
+                out[y, x, color[y, x]] = v[y, x]
+                for j in range(max(0, y - 1), min(h, y + 2)):
+                    for i in range(max(0, x - 1), min(w, x + 2)):
+                        if color[j, i] != color[y, x]:
+                            out[j, i, color[y, x]] = v[y, x]
+        df = spark.createDataFrame([(1, y, x, int(v[y, x])) for y in range(h) for x in range(w)], "image_id long, y int, x int, v int").repartition(3)
+        got = {(r.y, r.x): (r.r, r.g, r.b) for r in stencil.demosaic_spread(df, pattern, 6).collect()}
+        assert got == {(y, x): tuple(map(int, out[y, x])) for y in range(h) for x in range(w)}
+
+
+def test_chroma_of_every_second_row(spark):
+    """Red is luma plus cb, green luma plus cr, blue luma, with a plain loop beside it."""
+    rnd = np.random.default_rng(5)
+    for h, w in ((6, 8), (4, 4), (3, 5), (1, 1)):
+        half = rnd.integers(-900, 900, (2, (h + 1) // 2, (w + 1) // 2))
+        rows = [(1, y, x, 2000, *[int(half[k, y // 2, x // 2]) if y % 2 == x % 2 == 0 else None for k in (0, 1)]) for y in range(h) for x in range(w)]
+        df = spark.createDataFrame(rows, "image_id long, y int, x int, v int, cb int, cr int").repartition(3)
+        got = {(r.y, r.x): (r.r, r.g, r.b) for r in stencil.chroma_420(df, ((4096, 0), (0, 4096), (0, 0)), (256, 256, 256)).collect()}
+
+        def full(c, y, x):
+            j, i = y // 2, x // 2
+            here, right, below = c[j][i], i + 1 < len(c[0]), j + 1 < len(c)
+            a = here + c[j][i + 1] >> 1 if x % 2 and right else here
+            if y % 2 == 0 or not below:
+                return a
+            b = here + c[j + 1][i] >> 1
+            return here + a + b + c[j + 1][i + 1] >> 2 if x % 2 and right else b
+
+        c = half.tolist()
+        assert got == {(y, x): (2000 + full(c[0], y, x), 2000 + full(c[1], y, x), 2000) for y in range(h) for x in range(w)}
+
+
+def test_rows_stored_even_before_odd(spark):
+    got = spark.range(8).select(binary.split_row(F.col("id"), F.lit(4)).alias("y")).collect()
+    assert [r.y for r in got] == [0, 2, 4, 6, 1, 3, 5, 7]

@@ -63,3 +63,24 @@ def test_olympus_strips_are_uncompressed(spark):
     for k in ("little", "big"):
         assert sorted((r.y, r.x, r.v) for r in got if r.path == k) == [(y, x, v[y][x]) for y in range(4) for x in range(4)]
     assert [r.error is not None for r in got if r.path == "short"] == [True]
+
+
+def test_sony_forms_go_by_the_size(spark):
+    v = [[(y * 211 + x * 97) % 4096 for x in range(4)] for y in range(4)]
+    pairs = [(r[k], r[k + 1]) for r in v for k in (0, 2)]
+    packed = b"".join(bytes([a & 255, a >> 8 | (b & 15) << 4, b >> 4]) for a, b in pairs)
+    data = {"packed": (12, packed), "blocks": (8, bytes(16)), "sums": (12, bytes([0x55]) * 64), "other": (10, bytes(20))}
+    files = spark.createDataFrame([(k, bytearray(b"12345678" + d)) for k, (_, d) in data.items()], "path string, content binary")
+    rows = []
+    for k, (bits, d) in data.items():
+        for tag, nums, text in ((256, [4], None), (257, [4], None), (258, [bits], None), (259, [32767], None), (271, [], "SONY "), (273, [8], None), (278, [4], None), (279, [len(d)], None)):
+            rows.append((k, 0, tag, [float(x) for x in nums], text, len(rows), None, True))
+    tags = spark.createDataFrame(rows, "path string, ifd_id int, tag int, nums array<double>, text string, preorder int, error string, little boolean")
+    s = raw.raw_slices(files, tags)
+    assert {r.path: (r.codec, r.h, r.w) for r in s.collect()} == {"packed": ("packed", 4, 4), "blocks": ("blocks16", 4, 4), "sums": ("column_sum", 12, 4), "other": ("sony of unknown form", 4, 4)}
+    got = slices.decode(s).join(s.select("image_id", "path"), "image_id").collect()
+    assert sorted((r.y, r.x, r.v) for r in got if r.path == "packed") == [(y, x, v[y][x]) for y in range(4) for x in range(4)]
+    # 01 01 01 ...: a length of 3, of which the next bit (0) keeps three bits: 3 of 0b101 = 5, and again from the next bits.
+    sums = {(r.y, r.x): r.v for r in got if r.path == "sums"}
+    assert len(sums) == 48 and sums[0, 3] == 5
+    assert [r.error is not None for r in got if r.path == "other"] == [True]
