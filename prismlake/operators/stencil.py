@@ -139,8 +139,8 @@ def demosaic_spread(df: DataFrame, pattern: str, size: int) -> DataFrame:
     return df.select("image_id", "y", "x", last(0).alias("r"), last(1).alias("g"), last(2).alias("b"))
 
 
-def demosaic_directional(df: DataFrame, pattern: str, height: int, width: int, threshold: float = 2.0) -> DataFrame:
-    """Green along the direction of the smaller gradient, red and blue by colour differences.
+def demosaic_directional(df: DataFrame, pattern: str, height: int, width: int, threshold: float = 2.0, differences: bool = True) -> DataFrame:
+    """Green along the direction of the smaller gradient, red and blue by colour differences, or else by plain means of their samples.
 
     Green in the outer ring of three is the mean of its four neighbours, mirrored.
     """
@@ -154,7 +154,12 @@ def demosaic_directional(df: DataFrame, pattern: str, height: int, width: int, t
     inside = y.between(3, height - 4) & x.between(3, width - 4)
     ring = _div(at(-1, 0) + at(1, 0) + at(0, -1) + at(0, 1), 4)
     missing = F.when(inside, F.greatest(value, F.lit(0.0)).cast("int").bitwiseAND(65535)).otherwise(ring).cast("int")
-    df = df.select("image_id", "y", "x", "v", _by_site(pattern, missing, missing, v, v).cast("int").alias("g"))
+    green = _by_site(pattern, missing, missing, v, v).cast("int").alias("g")
+    if not differences:
+        sides, ends, corners = _div(at(0, 1) + at(0, -1), 2), _div(at(-1, 0) + at(1, 0), 2), _div(at(-1, 1) + at(-1, -1) + at(1, 1) + at(1, -1), 4)
+        red, blue = _by_site(pattern, v, corners, sides, ends), _by_site(pattern, corners, v, ends, sides)
+        return df.select("image_id", "y", "x", red.cast("int").alias("r"), green, blue.cast("int").alias("b"))
+    df = df.select("image_id", "y", "x", "v", green)
     df = neighbourhood(df.withColumn("d", v - F.col("g")), ["d"], 1)
     d = reader("d", 1, True)
     cut = lambda e, n: (e.cast("double") / n).cast("int")

@@ -430,6 +430,15 @@ def _masked(k: int, color_of: str) -> str:
 XTRANS = "GBGGRGRGRBGBGBGGRGGRGGBGBGBRGRGRGGBG"
 
 
+@query(
+    "win12_demosaic_plain_means",
+    f"""WITH {MOSAIC}, {grid('mosaic', ['v'], 2)}
+    SELECT image_id, y, x, {_sites('v', CORNERS, ACROSS, ALONG)} AS r, {_sites(_MISSING, _MISSING, 'v', 'v')} AS g, {_sites(CORNERS, 'v', ALONG, ACROSS)} AS b FROM grid""",
+)
+def _(spark, d):
+    return stencil.demosaic_directional(rasters.mosaic(spark, d), "RGGB", HEIGHT, WIDTH, differences=False)
+
+
 def _pattern_sql(pattern: str, size: int) -> str:
     codes = "[" + ", ".join(str("RGB".index(c)) for c in pattern) + "]"
     return f"WITH {MOSAIC}, coded AS (SELECT image_id, y, x, v * 4 + {codes}[((y % {size}) * {size} + x % {size} + 1)::INT] AS c FROM mosaic), {grid('coded', ['c'], 1)} SELECT image_id, y, x, {_masked(0, '')} AS r, {_masked(1, '')} AS g, {_masked(2, '')} AS b FROM grid"
