@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,23 @@ def unpack(data: Column, bits: int, count: int | Column | None = None, little: b
     if count is None:
         count = F.floor(F.length(data) * F.lit(8).cast("long") / bits).cast("int")
 
+    size = math.lcm(bits, 8) // 8
+    if size <= 7:  # whole numbers of values in parts that fit a long: one conversion a part
+        size *= 7 // size
+        each, mask = size * 8 // bits, (1 << bits) - 1
+
+        def word(i: Column) -> Column:
+            part = F.rpad(F.hex(F.substring(data, i * size + 1, F.lit(size))), 2 * size, "0")
+            if little:
+                part = F.concat(*[F.substring(part, k, 2) for k in range(2 * size - 1, 0, -2)])
+            return F.conv(part, 16, 10).cast("long")
+
+        n = F.lit(count) if isinstance(count, int) else count
+        shifts = [bits * k if little else size * 8 - bits * (k + 1) for k in range(each)]
+        words = F.transform(_places(F.ceil(n / each).cast("int")), word)
+        values = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftright(w, k).bitwiseAND(mask).cast("int") for k in shifts])))
+        return F.when(n >= 0, F.slice(values, 1, F.greatest(n, F.lit(0))))
+
     def value(i: Column) -> Column:
         start = i.cast("long") * bits
         four = F.hex(F.substring(data, F.floor(start / 8).cast("int") + 1, F.lit(4)))
