@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, components, document_columns, forest_from, forget, release, written, written_slim
@@ -492,38 +492,55 @@ def light_work(hits: DataFrame, least: float) -> DataFrame:
     return met.select("unit", F.col("node_u").alias("node"), F.col("component_u").alias("component")).union(met.select("unit", "node_v", "component_v")).distinct()
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, block): sorted texts (node, n) in blocks of bounded size."""
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted texts (node, n, component) with their task, and how many texts and shingles lie before each of them in it."""
     from pyspark import TaskContext
 
-    block, texts, size = TaskContext.get().partitionId() << 32, 0, 0
-    for batch in batches:
-        out = []
-        for n in batch["n"]:
-            if texts and (texts >= BLOCK_TEXTS or size + n > BLOCK_SHINGLES):
-                block, texts, size = block + 1, 0, 0
-            texts, size = texts + 1, size + n
-            out.append(block)
-        yield pd.DataFrame({"node": batch["node"], "n": batch["n"], "component": batch["component"], "block": np.array(out, dtype=np.int64)})
+    part, at, size = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        n = b["n"].to_numpy(np.int64)
+        ends = size + np.cumsum(n)
+        yield pd.DataFrame({"node": b["node"], "n": b["n"], "component": b["component"], "part": part, "at": at + np.arange(len(n)), "size": ends - n})
+        at, size = at + len(n), int(ends[-1]) if len(n) else size
+
+
+def blocks(texts: DataFrame, order: list[str]) -> DataFrame:
+    """(node, component, block): texts in the given order in blocks of BLOCK_TEXTS texts, or of BLOCK_SHINGLES shingles and one text more.
+
+    Places count over all tasks, so the number of blocks doesn't go by that of partitions.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "n", "component")
+    run = written(run.mapInPandas(_places, "node long, n int, component long, part int, at long, size long"), "places")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = run.groupBy("part").agg(F.count("*").alias("_at"), F.sum("n").alias("_size"))
+    ends = ends.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_at", "_size")])  # a row a partition
+    # Neither quotient ever falls, so their sum tells when one of them rises.
+    block = F.expr(f"(_at + at) div {BLOCK_TEXTS} + (_size + size) div {BLOCK_SHINGLES}")
+    out = written_slim(run.join(F.broadcast(ends), "part").select("node", "component", block.alias("block")), "blocks")
+    forget(run)
+    return out
 
 
 def block_work(hits: DataFrame, least: float) -> tuple[DataFrame, list[DataFrame]]:
     """(unit, node, component): the texts that each pair of blocks compares, and the tables that these come from.
 
     Texts with shingles of many texts lie in one block with those that have the same
-    commonest shingle and about as many shingles. If s, at place `at`, is the first
+    commonest shingle and about as many shingles; components that fill blocks have
+    blocks of their own, which needn't meet one another. If s, at place `at`, is the first
     shingle that a text of n shingles shares with a similar one, that one has at
     least least * n and at most (n - at) * (1 + least) / least - n shingles; a text
     meets a block only if some text there has s and a size in that range, and the
     other way round. A unit whose texts are of one component has nothing to find.
     """
-    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = hits.where(F.col("m") > LIGHT)
     texts = many.groupBy("node", "n", "component").agg(F.max(F.struct("m", "s")).alias("lead"))
-    texts = texts.select("node", "n", "component", F.col("lead.m").alias("m"), F.col("lead.s").alias("s"))
-    order = ["m", "s", "n", "node"]
-    texts = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("node", "n", "component")
-    texts = written(texts.mapInPandas(_blocks, "node long, n int, component long, block long"), "blocks")
+    texts = written_slim(texts.select("node", "n", "component", F.col("lead.m").alias("m"), F.col("lead.s").alias("s")), "leads")
+    large = texts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= BLOCK_TEXTS).select("component", F.col("component").alias("own"))
+    large = written_slim(large, "large-components")
+    leads, texts = texts, blocks(texts.join(bounded(large), "component", "left"), ["own", "m", "s", "n", "node"])
+    for t in (leads, large):
+        forget(t)
     at = many.select("s", "node", "n", "component", F.expr(f"{least} * n - 1e-6").alias("lo"), F.expr(f"(n - at) * {(1 + least) / least!r} - n + 1e-6").alias("hi"))
     at = written_slim(at.join(texts.select("node", "block"), "node"), "block-shingles")
     others = at.groupBy("s", F.col("block").alias("other")).agg(

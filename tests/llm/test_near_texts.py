@@ -126,3 +126,30 @@ def test_passages_and_short_texts_are_found(spark, monkeypatch):
         best[label[t]] = min(i, best.get(label[t], i))
     assert len(best) < len(rows) - 100
     assert {r.doc_id for r in near_texts.without_near_duplicates(docs).collect()} == set(best.values())
+
+
+@pytest.mark.parametrize("parts", ["4", "24"])
+def test_meetings_grow_with_a_group_and_not_with_its_square(spark, monkeypatch, parts):
+    """Texts of one component meet the others' blocks only, in as many blocks for any number of partitions."""
+    monkeypatch.setattr(near_texts, "BLOCK_TEXTS", 20)
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for size in (240, 480):
+            rnd = random.Random(size)
+            # (node, shingles, component): one large component and twenty texts of their own, of all sizes.
+            texts = [(k, 200 + rnd.randrange(20), 0 if k < size else k) for k in range(size + 20)]
+            hits = spark.createDataFrame([(7, *t, 0, len(texts)) for t in texts], "s long, node long, n int, component long, at int, m long")
+            work, tables = near_texts.block_work(hits, 0.8)
+            blocks, _, met = tables
+            assert blocks.select("block").distinct().count() == len(texts) // 20
+            assert sorted(r.node for r in blocks.select("node").collect()) == list(range(len(texts)))
+            made.append(met.count())
+            units = {}
+            for r in work.collect():
+                units.setdefault(r.unit, set()).add(r.node)
+            share = {frozenset((a, b)) for u in units.values() for a in u for b in u if b >= size}
+            assert all(frozenset((a, b)) in share for a in range(size + 20) for b in range(size, size + 20))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] < 3 * 260 and made[1] < 2.2 * made[0]
