@@ -219,9 +219,10 @@ def _(spark, d):
 
 @query("map06_cfa_default", f"WITH {TAGS}, p AS (SELECT image_id, arg_min(num, preorder) FILTER (WHERE tag = 8) AS num FROM tags GROUP BY 1) SELECT image_id, coalesce(CASE WHEN num IS NOT NULL THEN ['RGGB', 'BGGR'][(floor(num)::INT % 2 + 1)] END, 'RGGB') AS pattern FROM p")
 def _(spark, d):
-    num = F.min_by("num", F.when(C("tag") == 8, C("preorder")))
+    num = F.min_by("num", F.when((C("tag") == 8) & C("num").isNotNull(), C("preorder")))
     p = rasters.tags(spark, d).groupBy("image_id").agg(num.alias("num"))
-    known = F.element_at(F.array(F.lit("RGGB"), F.lit("BGGR")), F.floor("num").cast("int") % 2 + 1)
+    # In ANSI mode element_at takes a null index for 0 if the array has no nulls.
+    known = F.when(C("num").isNotNull(), F.element_at(F.array(F.lit("RGGB"), F.lit("BGGR")), F.floor("num").cast("int") % 2 + 1))
     return p.select("image_id", F.coalesce(known, F.lit("RGGB")).alias("pattern"))
 
 
