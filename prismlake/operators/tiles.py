@@ -23,7 +23,9 @@ def apply(df: DataFrame, kernel: Kernel, channels: list[str], height: int, width
     """Runs kernel(planes, border) on tiles; border marks the pixels on the edge of the image.
 
     planes has the channels first. A tile's group is bounded by (size + 2 * radius)^2
-    pixels.
+    pixels. height and width bound the images; an image may have less, and its edges are the
+    first and last rows and columns that it has. Of rows and columns that it lacks in between,
+    the ones beside them become neighbours, if they are in one tile.
     """
 
     def tiles_of(c: str, n: int) -> F.Column:
@@ -34,18 +36,16 @@ def apply(df: DataFrame, kernel: Kernel, channels: list[str], height: int, width
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(rows["_ty"].iloc[0]), int(rows["_tx"].iloc[0])
-        y0, x0 = max(0, ty * size - radius), max(0, tx * size - radius)
-        y1, x1 = min(height, (ty + 1) * size + radius), min(width, (tx + 1) * size + radius)
-        planes = np.zeros((len(channels), y1 - y0, x1 - x0), np.int64)
-        y, x = rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0
+        (ys, y), (xs, x) = (np.unique(rows[c].to_numpy(), return_inverse=True) for c in ("y", "x"))
+        planes = np.zeros((len(channels), len(ys), len(xs)), np.int64)
         planes[:, y, x] = rows[channels].to_numpy().T
-        gy, gx = np.mgrid[y0:y1, x0:x1]
-        border = (gy == 0) | (gy == height - 1) | (gx == 0) | (gx == width - 1)
+        # The outermost rows and columns are the image's own or else halo, whose results aren't used.
+        border, there = np.ones(planes.shape[1:], bool), np.zeros(planes.shape[1:], bool)
+        border[1:-1, 1:-1] = False
         out = kernel(planes, border)
-        own = (gy >= ty * size) & (gy < (ty + 1) * size) & (gx >= tx * size) & (gx < (tx + 1) * size)
-        there = np.zeros(own.shape, bool)
         there[y, x] = True
-        own &= there
+        gy, gx = np.meshgrid(ys, xs, indexing="ij")
+        own = there & (gy >= ty * size) & (gy < (ty + 1) * size) & (gx >= tx * size) & (gx < (tx + 1) * size)
         result = pd.DataFrame({"image_id": rows["image_id"].iloc[0], "y": gy[own].astype(np.int32), "x": gx[own].astype(np.int32)})
         for k, c in enumerate(channels):
             result[c] = out[k][own].astype(np.int32)
