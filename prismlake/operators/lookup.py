@@ -36,15 +36,33 @@ def first_containing(df: DataFrame, text: str, dim: DataFrame, name: str, order:
 def by_range(df: DataFrame, key: str, value: str, dim: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The row of `dim` (key, ord, lo, hi, ...) for a value: the only one, or else the first not default in range.
 
-    hi = 0 is open; lo = hi = 0 is the default row.
+    lo and hi are whole numbers, hi = 0 is open; lo = hi = 0 is the default row. Each range
+    is filed under the halved blocks of numbers that make it up (two a size at most), with the
+    first row of each block kept, and each distinct value looks its blocks up. So values and
+    ranges meet on a key, and no key's values meet all of its ranges.
     """
-    d = dim.select(F.col(key).alias("_k"), *[c for c in dim.columns if c != key])
-    d = d.withColumn("_only", F.count("*").over(Window.partitionBy("_k")) == 1)
-    inside = (F.col(value) >= F.col("lo")) & ((F.col(value) <= F.col("hi")) | (F.col("hi") == 0))
-    met = df.withColumn("_row", F.monotonically_increasing_id()).join(small(d), (F.col(key) == F.col("_k")) & (inside | F.col("_only")), "left")
+    if set(dict(dim.select("lo", "hi").dtypes).values()) - {"tinyint", "smallint", "int", "bigint"}:
+        raise ValueError("ranges must have whole bounds")
     default = (F.col("lo") == 0) & (F.col("hi") == 0)
-    w = Window.partitionBy("_row").orderBy(default, "ord")
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*df.columns, *columns)
+    d = dim.select(F.col(key).alias("_k"), "lo", "hi", F.struct(default.alias("d"), F.col("ord").isNull().alias("n"), F.col("ord").alias("o")).alias("_o"), F.struct(*columns).alias("_c"))
+    first = (F.min_by("_c", "_o").alias("_c"), F.min("_o").alias("_o"))
+    only = d.groupBy("_k").agg(F.count("*").alias("_rows"), F.min_by("_c", "_o").alias("_only")).where("_rows = 1").drop("_rows")
+
+    # Whole numbers are even places and what lies between them is odd, so fractions are in range as they are.
+    ends = d.where("lo IS NOT NULL AND hi IS NOT NULL").groupBy("_k", "lo", "hi").agg(*first)
+    ends = ends.select("_k", "_c", "_o", (F.col("lo").cast("long") * 2).alias("_a"), F.when(F.col("hi") == 0, F.lit(1 << 62)).otherwise(F.col("hi").cast("long") * 2 + 1).alias("_e"))
+    each = ends.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(62))))
+    each = each.selectExpr("_k", "_c", "_o", "_l", "shiftright(_a + shiftleft(1L, _l) - 1, _l) AS _a", "shiftright(_e, _l) AS _e").where("_a < _e")
+    each = each.selectExpr("_k", "_c", "_o", "_l", "explode(array(if(_a & 1 = 1, _a, NULL), if(_e & 1 = 1, _e - 1, NULL))) AS _n").where("_n IS NOT NULL")
+    blocks = each.groupBy("_k", "_l", "_n").agg(*first)
+
+    place = F.floor(value).cast("long") + F.ceil(value).cast("long")
+    asked = df.select(F.col(key).alias("_k"), F.col(value).alias("_v"), place.alias("_p")).where("_k IS NOT NULL AND _p IS NOT NULL").distinct()
+    asked = asked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("_n", F.expr("shiftright(_p, _l)"))
+    hit = asked.join(blocks, ["_k", "_l", "_n"]).groupBy("_k", "_v").agg(F.min_by("_c", "_o").alias("_hit"))
+    out = df.join(hit, (F.col(key) == F.col("_k")) & (F.col(value) == F.col("_v")), "left").drop("_k", "_v")
+    out = out.join(small(only), F.col(key) == F.col("_k"), "left")
+    return out.select(*df.columns, *[F.when(F.col("_only").isNotNull(), F.col("_only")[c]).otherwise(F.col("_hit")[c]).alias(c) for c in columns])
 
 
 def by_mode(df: DataFrame, dim: DataFrame, columns: Sequence[str]) -> DataFrame:
