@@ -41,7 +41,7 @@ for _bits, _name, _little in ((7, "dec01_unpack7", False), (8, "dec02_unpack8",
 
     @query(_name, _packed(_bits, _little))
     def _(spark, d, bits=_bits, little=_little):
-        return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.unpack(C("bytes"), bits, None, little)).alias("i", "v"))
+        return binary.unpack_rows(rasters.byte_rows(spark, d, spread=True), "bytes", bits, None, little)
 
 
 @query("dec19_key_xor", f"WITH {hex_parts(1)} SELECT doc_id, p::INT AS i, xor(('0x' || h)::INT, ((17 + 91 * (96 * (p + 1) + p * (p + 1) // 2)) & 255)::INT) AS v FROM d")
@@ -90,8 +90,8 @@ def _(spark, d):
 @query("dec22_split_rows", f"WITH v AS ({_packed(12, False)}), n AS (SELECT doc_id, i, v, count(*) OVER (PARTITION BY doc_id) // 128 AS half FROM v) SELECT doc_id, CASE WHEN i // 64 < half THEN 2 * (i // 64) ELSE 2 * (i // 64 - half) + 1 END::INT AS y, (i % 64)::INT AS x, v FROM n WHERE i < half * 128")
 def _(spark, d):
     """Texts as 12-bit samples in rows of 64 whose even rows come before the odd ones; a row without its pair is left out."""
-    b = rasters.byte_rows(spark, d).withColumn("half", F.floor(F.length("bytes").cast("long") * 8 / 12 / 128).cast("int"))
-    v = b.select("doc_id", "half", F.posexplode(binary.unpack(C("bytes"), 12, C("half") * 128)).alias("i", "v"))
+    b = rasters.byte_rows(spark, d, spread=True).withColumn("half", F.floor(F.length("bytes").cast("long") * 8 / 12 / 128).cast("int"))
+    v = binary.unpack_rows(b, "bytes", 12, C("half") * 128)
     return v.select("doc_id", binary.split_row(F.expr("i div 64").cast("int"), C("half")).alias("y"), (C("i") % 64).alias("x"), "v")
 
 
