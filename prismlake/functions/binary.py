@@ -86,19 +86,13 @@ def split_row(row: Column, half: Column) -> Column:
     return F.when(row < half, row * 2).otherwise((row - half) * 2 + 1)
 
 
-def key_xor(data: Column, first: int, factor: int, count: int | Column, start: int = 0x60) -> Column:
-    """Array of `count` bytes under a running key: the key grows by factor times a counter that grows by one each byte.
+def running_key(i: Column, first: int, factor: int, start: int = 0x60) -> Column:
+    """Key of byte i: the key grows by factor times a counter that grows by one each byte.
 
-    In closed form the key of byte i is first + factor * (start * (i + 1) + i * (i + 1) / 2).
+    In closed form it is first + factor * (start * (i + 1) + i * (i + 1) / 2).
     """
-
-    def value(i: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
-        k = i.cast("long")
-        key = (F.lit(first) + F.lit(factor) * (F.lit(start) * (k + 1) + F.floor(k * (k + 1) / 2))).bitwiseAND(255).cast("int")
-        return byte.bitwiseXOR(key)
-
-    return F.transform(_places(count), value)
+    k = i.cast("long")
+    return (F.lit(first) + F.lit(factor) * (F.lit(start) * (k + 1) + F.shiftright(k * (k + 1), 1))).bitwiseAND(255).cast("int")
 
 
 #: Integer matrix from chroma to red, green and blue, in 4096ths.

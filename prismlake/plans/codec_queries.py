@@ -46,7 +46,8 @@ for _bits, _name, _little in ((7, "dec01_unpack7", False), (8, "dec02_unpack8",
 
 @query("dec19_key_xor", f"WITH {hex_parts(1)} SELECT doc_id, p::INT AS i, xor(('0x' || h)::INT, ((17 + 91 * (96 * (p + 1) + p * (p + 1) // 2)) & 255)::INT) AS v FROM d")
 def _(spark, d):
-    return rasters.byte_rows(spark, d).select("doc_id", F.posexplode(binary.key_xor(C("bytes"), 17, 91, F.length("bytes"))).alias("i", "v"))
+    v = binary.unpack_rows(rasters.byte_rows(spark, d, spread=True), "bytes", 8)
+    return v.withColumn("v", C("v").bitwiseXOR(binary.running_key(C("i"), 17, 91)))
 
 
 _CB, _CR = "((x // 2 * 2 * 37 + y * 11) % 2000 - 1000)", "((x // 2 * 2 * 53 + y * 7) % 2000 - 1000)"
